@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"[\p{L}\p{N}_]"
@@ -35,7 +36,7 @@ def collapse_spaces(text: Column) -> Column:
     return F.regexp_replace(text, rf"{SPACE}+", " ")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
     if text.null_count == len(text):
         return text
@@ -82,16 +83,16 @@ def float_text(number: Column) -> Column:
     plain = number.cast("string")
     digits = plain.cast("decimal(38,20)").cast("string")
     trimmed = F.regexp_replace(F.regexp_replace(digits, r"0+\z", ""), r"\.\z", ".0")
-    mantissa = F.regexp_replace(F.split_part(plain, F.lit("E"), F.lit(1)), r"\.0\z", "")
-    power = F.split_part(plain, F.lit("E"), F.lit(2)).try_cast("int")
-    exponent = F.concat(F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    long_exponent = F.concat(F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(power).cast("string"))
+    # 15 to 17 significant digits: the first form that reads back as the number.
+    rounded = [F.format_string(f"%.{places}e", number) for places in (14, 15, 16)]
+    exact = F.coalesce(*[F.when(form.cast("double") == number, form) for form in rounded])
+    scientific = F.regexp_replace(exact, r"\.?0*e", "e")
     return (
         F.when(F.isnan(number), F.lit("nan"))
         .when(size == float("inf"), F.when(number > 0, F.lit("inf")).otherwise(F.lit("-inf")))
         .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), plain)
         .when((size >= 1e-4) & (size < 1e16), trimmed)
-        .otherwise(F.concat(mantissa, F.lit("e"), F.when(F.abs(power) < 100, exponent).otherwise(long_exponent)))
+        .otherwise(scientific)
     )
 
 

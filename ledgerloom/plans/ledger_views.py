@@ -65,6 +65,8 @@ MERCHANTS: tuple[tuple[str | None, str, str], ...] = (
     ("nan", "", "Random text - market"),
     (None, "", "sw. Jana 7, Lodz"),
     ("Purchase in terminal - mobile code", "recipient account", "maratonska 24"),
+    ("Żabka Łódź", "", "ul. Źródlana 4 : WARSZAWA"),
+    ("Café pod Różą", "", ""),
 )
 
 # Transaction type of each event type; one is missing and one reads "nan".
