@@ -34,6 +34,19 @@ def keyword_pattern(keywords: list[str]) -> str:
     return branch(tree)
 
 
+def _possible_start(keywords: list[str]) -> str:
+    """Lookahead for the first characters any keyword begins with.
+
+    Two character classes turn most positions away before the alternatives.
+    """
+
+    def any_of(characters: set[str]) -> str:
+        return "[" + "".join(re.escape(character) for character in sorted(characters)) + "]"
+
+    starts = [any_of({word[place] for word in keywords}) for place in range(min(2, min(map(len, keywords))))]
+    return f"(?={''.join(starts)})"
+
+
 def contains_any(text: Column, keywords: list[str] | tuple[str, ...]) -> Column:
     """True when the text contains any of the keywords (case-sensitive)."""
     return text.rlike(keyword_pattern(list(keywords))) if keywords else F.lit(False)
@@ -57,7 +70,8 @@ def match_priority(text: Column, rules: RuleSet) -> Column:
     words = list(priorities)
     best = {word: min(priorities[other] for other in words if other in word) for word in words}
     ranks = F.create_map(*[F.lit(item) for pair in best.items() for item in pair])
-    hits = F.regexp_extract_all(F.lower(text), F.lit(f"(?=({keyword_pattern(words)}))"), F.lit(1))
+    pattern = f"{_possible_start(words)}(?=({keyword_pattern(words)}))"
+    hits = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
     return F.array_min(F.transform(hits, lambda word: F.element_at(ranks, word)))
 
 

@@ -7,11 +7,8 @@ letters, numbers and underscore.
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"[\p{L}\p{N}_]"
@@ -36,16 +33,13 @@ def collapse_spaces(text: Column) -> Column:
     return F.regexp_replace(text, rf"{SPACE}+", " ")
 
 
-@F.arrow_udf(T.StringType())
-def _nfkc(text: pa.Array) -> pa.Array:
-    if text.null_count == len(text):
-        return text
-    return pc.utf8_normalize(text, form="NFKC")
-
-
 def nfkc(text: Column) -> Column:
-    """Unicode normal form KC; only texts that may change are sent to Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(MAY_CHANGE_UNDER_NFKC), text)), text)
+    """Unicode normal form KC, by the ICU library Spark itself uses for collations.
+
+    Reflection is slow, so only texts that may change take that branch.
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(MAY_CHANGE_UNDER_NFKC), composed).otherwise(text)
 
 
 def normalise_description(text: Column) -> Column:

@@ -76,7 +76,23 @@ def _keyed(df: DataFrame) -> DataFrame:
         }
     )
     # A high-entropy first key lets the window's sort compare 8 bytes, not texts.
-    return keyed.withColumn("_hash", F.xxhash64("_group", *_KEY))
+    return keyed.withColumns(
+        {"_hash": F.xxhash64("_group", *_KEY), "_crowd": F.xxhash64("_group", "_booked", "_minor")}
+    )
+
+
+def _hot_hashes(keyed: DataFrame, hot_rows: int) -> DataFrame:
+    """Hashes of the keys with more than ``hot_rows`` rows.
+
+    Rows are counted by day and amount first, which reads neither texts nor
+    anything else; only rows of crowded days and amounts are counted by their
+    whole key. Both results hold at most rows / hot_rows hashes of 8 bytes, so
+    broadcasting them is safe at any scale: a trillion rows leave a million.
+    """
+    many = F.col("count") > hot_rows
+    crowds = keyed.groupBy("_crowd").count().where(many).select("_crowd")
+    suspects = keyed.join(F.broadcast(crowds), "_crowd", "left_semi")
+    return suspects.groupBy("_hash").count().where(many).select("_hash", F.lit(True).alias("_hot"))
 
 
 def occurrence_index(keyed: DataFrame, hot_rows: int = HOT_ROWS, slice_bits: int = SLICE_BITS) -> DataFrame:
@@ -88,10 +104,7 @@ def occurrence_index(keyed: DataFrame, hot_rows: int = HOT_ROWS, slice_bits: int
     have a single slice and need no correction.
     """
     group = ["_hash", "_group", *_KEY]
-    # At most rows / hot_rows hashes, 8 bytes each, so broadcasting them is
-    # safe at any scale: a trillion rows leave at most a million.
-    hot = keyed.groupBy("_hash").count().where(F.col("count") > hot_rows).select("_hash", F.lit(True).alias("_hot"))
-    sliced = keyed.join(F.broadcast(hot), "_hash", "left").withColumn(
+    sliced = keyed.join(F.broadcast(_hot_hashes(keyed, hot_rows)), "_hash", "left").withColumn(
         "_slice", F.when(F.col("_hot"), F.shiftright("_order", slice_bits)).otherwise(F.lit(-1).cast("bigint"))
     )
     within = Window.partitionBy(*group, "_slice").orderBy("_order")
@@ -103,7 +116,7 @@ def occurrence_index(keyed: DataFrame, hot_rows: int = HOT_ROWS, slice_bits: int
     return (
         counted.join(offsets, [*group, "_slice"], "left")
         .withColumn("occurrence", F.col("_rank") + F.coalesce("_offset", F.lit(0)))
-        .drop("_hot", "_slice", "_rank", "_offset")
+        .drop("_hot", "_crowd", "_slice", "_rank", "_offset")
     )
 
 

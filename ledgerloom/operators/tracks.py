@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -42,26 +42,37 @@ def _refund(text: Column, rules: RuleSet) -> Column:
     return contains_any(F.coalesce(F.lower(text), F.lit("")), rules.keywords(REFUND_LABEL))
 
 
-def _prepared(df: DataFrame, replacements: Mapping[str, str], rules: RuleSet, dropped: Observation | None) -> DataFrame:
-    """Cleaned rows that are no refunds, with ``_value`` as a number that is not missing.
+def _labelled(
+    df: DataFrame,
+    replacements: Mapping[str, str],
+    rules: RuleSet,
+    wanted: Callable[[Column], Column],
+    label: Callable[[Column, Column], Column],
+    dropped: Observation | None,
+) -> DataFrame:
+    """Cleaned and labelled rows that are no refunds and whose amount is wanted.
+
+    Adds ``_value``, the amount as a number. It is parsed only where the row is
+    not a refund, so an unreadable amount on a refund does not fail.
 
-    The amount is parsed only where the row is not a refund, so an unreadable
-    amount on a refund does not fail.
+    A generator that yields a label for wanted rows and nothing for the others
+    takes the place of a filter: filters on cleaned text or labels would be
+    pushed below the projections and repeat that work for every reference.
     """
     numeric = isinstance(df.schema["amount"].dataType, T.NumericType)
-    value = F.col("amount").cast("double") if numeric else strict_double(F.col("amount"))
-    kept = (
+    amount = F.col("amount").cast("double") if numeric else strict_double(F.col("amount"))
+    data, value, refund = F.col("data"), F.col("_value"), F.col("_refund")
+    rows = (
         with_txn_id(df)
-        .withColumn("data", cleaned(F.col("data"), replacements))
-        .withColumn("_refund", _refund(F.col("data"), rules))
-        .withColumn("_value", F.when(~F.col("_refund"), value))
-        .where(~F.col("_refund"))
+        .withColumn("data", cleaned(data, replacements))
+        .withColumn("_refund", _refund(data, rules))
+        .withColumn("_value", F.when(~refund, amount))
     )
     if dropped is not None:
-        kept = kept.observe(
-            dropped, F.coalesce(F.sum(F.when(is_missing(F.col("_value")), 1)), F.lit(0)).alias("missing_amounts")
-        )
-    return kept.where(~is_missing(F.col("_value")))
+        rows = rows.observe(dropped, F.count_if(~refund & is_missing(value)).alias("missing_amounts"))
+    kept = ~refund & ~is_missing(value) & wanted(value)
+    others = [name for name in rows.columns if name not in ("category", "_refund")]
+    return rows.select(*others, F.explode(F.when(kept, F.array(label(data, value)))).alias("category"))
 
 
 def expense_track(
@@ -72,13 +83,11 @@ def expense_track(
 ) -> DataFrame:
     """Labelled expenses (amounts of zero and below, as positive text)."""
     rules = rules or expense_rules()
-    rows = _prepared(df, replacements, rules, dropped).where(F.col("_value") <= 0)
-    return rows.select(
-        *[F.col(name) for name in ("txn_id", "day", "month", "year")],
-        float_text(F.abs(F.col("_value"))).alias("amount"),
-        match_label(F.col("data"), rules.without(REFUND_LABEL)).alias("category"),
-        "data",
+    spendings = rules.without(REFUND_LABEL)
+    rows = _labelled(
+        df, replacements, rules, lambda value: value <= 0, lambda data, _: match_label(data, spendings), dropped
     )
+    return rows.withColumn("amount", float_text(F.abs("_value"))).select(*PROCESSED_COLUMNS)
 
 
 def income_track(
@@ -89,13 +98,11 @@ def income_track(
     dropped: Observation | None = None,
 ) -> DataFrame:
     """Labelled income (positive amounts as text), refunds by the expense rules removed."""
-    rows = _prepared(df, replacements, rules or expense_rules(), dropped).where(F.col("_value") > 0)
-    return rows.select(
-        *[F.col(name) for name in ("txn_id", "day", "month", "year")],
-        float_text(F.col("_value")).alias("amount"),
-        match_label(F.col("data"), incomes or income_rules()).alias("category"),
-        "data",
+    rules, incomes = rules or expense_rules(), incomes or income_rules()
+    rows = _labelled(
+        df, replacements, rules, lambda value: value > 0, lambda data, _: match_label(data, incomes), dropped
     )
+    return rows.withColumn("amount", float_text(F.col("_value"))).select(*PROCESSED_COLUMNS)
 
 
 def label_tracks(
@@ -111,18 +118,16 @@ def label_tracks(
     Bookkeeping and date columns are kept next to the processed ones.
     """
     rules, incomes = rules or expense_rules(), incomes or income_rules()
-    rows = _prepared(df, replacements, rules, dropped)
-    income = F.col("_value") > 0
+    spendings = rules.without(REFUND_LABEL)
+
+    def label(data: Column, value: Column) -> Column:
+        return F.when(value > 0, match_label(data, incomes)).otherwise(match_label(data, spendings))
+
+    rows = _labelled(df, replacements, rules, lambda value: F.lit(True), label, dropped)
+    track = F.when(F.col("_value") > 0, F.lit(INCOME)).otherwise(F.lit(EXPENSE))
     rest = [name for name in df.columns if name not in PROCESSED_COLUMNS]
-    return rows.select(
-        F.when(income, F.lit(INCOME)).otherwise(F.lit(EXPENSE)).alias("track"),
-        *[F.col(name) for name in ("txn_id", "day", "month", "year")],
-        float_text(F.abs(F.col("_value"))).alias("amount"),
-        F.when(income, match_label(F.col("data"), incomes))
-        .otherwise(match_label(F.col("data"), rules.without(REFUND_LABEL)))
-        .alias("category"),
-        "data",
-        *rest,
+    return rows.withColumn("amount", float_text(F.abs("_value"))).select(
+        track.alias("track"), *PROCESSED_COLUMNS, *rest
     )
 
 
