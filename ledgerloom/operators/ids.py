@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.text import minor_units, normalise_description, strip
+from ledgerloom.functions.text import amount_value, minor_units, normalise_description, strip
 from ledgerloom.operators.normalise import IMPORT_ID, INGEST_ORDER
 
 ALGORITHM_VERSION = "v1"
@@ -63,11 +63,11 @@ def _keyed(df: DataFrame) -> DataFrame:
         raise ValueError(f"assign_txn_ids: missing required columns {sorted(missing)}")
     has = set(df.columns)
     numeric = isinstance(df.schema["amount"].dataType, T.NumericType)
-    keyed = df.withColumns(
+    keyed = df.withColumn("_value", amount_value(F.col("amount"), numeric)).withColumns(
         {
             "_booked": iso_date(F.col("booking_date")),
             "_valued": iso_date(F.col("value_date")) if "value_date" in has else F.lit(""),
-            "_minor": minor_units(F.col("amount"), numeric),
+            "_minor": minor_units(F.col("_value")),
             "_currency": _tag(F.col("currency")) if "currency" in has else F.lit("PLN"),
             "_type": _tag(F.col("txn_type")) if "txn_type" in has else F.lit(""),
             "_text": normalise_description(F.col("data")),
@@ -116,7 +116,7 @@ def occurrence_index(keyed: DataFrame, hot_rows: int = HOT_ROWS, slice_bits: int
     return (
         counted.join(offsets, [*group, "_slice"], "left")
         .withColumn("occurrence", F.col("_rank") + F.coalesce("_offset", F.lit(0)))
-        .drop("_hot", "_crowd", "_slice", "_rank", "_offset")
+        .drop("_hot", "_crowd", "_value", "_slice", "_rank", "_offset")
     )
 
 

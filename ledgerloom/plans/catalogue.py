@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.location import map_link, restore_diacritics, split_parts
-from ledgerloom.functions.text import float_text, is_missing, minor_units, quote_path, sheet_guard, strict_double
+from ledgerloom.functions.text import (
+    amount_value,
+    float_text,
+    is_missing,
+    minor_units,
+    quote_path,
+    sheet_guard,
+    strict_double,
+)
 from ledgerloom.operators import classify, review
 from ledgerloom.operators.ids import assign_txn_ids, with_occurrence
 from ledgerloom.operators.location import with_location
@@ -184,8 +192,8 @@ def minor_units_of_orders(spark: SparkSession, folder: str) -> DataFrame:
     comma = F.replace(F.concat(F.lit("-"), price.cast("string")), F.lit("."), F.lit(","))
     return read_table(spark, folder, "orders").select(
         "o_orderkey",
-        minor_units(comma).alias("minor"),
-        minor_units(price / F.lit(1000.0), numeric=True).alias("minor_thousandth"),
+        minor_units(amount_value(comma)).alias("minor"),
+        minor_units(price / F.lit(1000.0)).alias("minor_thousandth"),
     )
 
 
