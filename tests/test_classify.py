@@ -1,0 +1,165 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.keywords import match_label
+from ledgerloom.operators import classify
+from ledgerloom.rules import RULE_SCHEMA, RuleSet, display_rules, expense_rules, income_rules
+
+EXPENSE_CASES = [
+    ("zwrot za zamowienie", "REMOVE_ENTRY"),
+    ("partial REFUND processed", "REMOVE_ENTRY"),
+    ("biedronka restaurant", "FOOD"),
+    ("yerbamatestore tea", "GREENFOOD"),
+    ("parking fee", "TRANSPORTATION"),
+    ("bmw service", "CAR"),
+    ("shell premium", "FUEL"),
+    ("starbucks", "COFFEE"),
+    ("döner", "FASTFOOD"),
+    ("PIWNICA ŚWIDNICKA", "GROCERIES"),
+    ("apartment rent", "APARTMENT"),
+    ("apart jewels", "JEWELRY"),
+    ("super - pharm", "PHARMACY"),
+    ("h&m", "CLOTHES"),
+    ("b'twin", "BIKE"),
+    ("4f", "CLOTHES"),
+    ("unknown transaction", "MISC"),
+    ("", "MISC"),
+    (None, "MISC"),
+]
+INCOME_CASES = [
+    ("Wynagrodzenie za styczeń", "SALARY"),
+    ("freelance consulting fee", "SIDE_HUSTLE"),
+    ("zwrot podatku 2023", "EXTRA_INCOME"),
+    ("year-end bonus", "EXTRA_INCOME"),
+    ("random unknown transfer", "INCOME_MISC"),
+    ("", "INCOME_MISC"),
+]
+
+
+def labels(spark, texts, label):
+    rows = spark.createDataFrame([(number, text) for number, text in enumerate(texts)], "n int, t string")
+    return [row.label for row in rows.select("n", label(F.col("t")).alias("label")).orderBy("n").collect()]
+
+
+def first_match(text: str, rules: RuleSet) -> str:
+    """Brute force: every keyword of every label in order."""
+    return next(
+        (label for label, words in rules.rules if any(word in text.lower() for word in words)), rules.default
+    )
+
+
+def test_labels(spark):
+    texts, expected = zip(*EXPENSE_CASES, strict=True)
+    assert labels(spark, texts, classify.expense_label) == list(expected)
+    texts, expected = zip(*INCOME_CASES, strict=True)
+    assert labels(spark, texts, classify.income_label) == list(expected)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_single_scan_equals_first_match(spark, seed):
+    """Small alphabets make keywords overlap, nest and repeat across labels."""
+    generator = random.Random(seed)
+
+    def word(longest: int) -> str:
+        return "".join(generator.choice("abc") for _ in range(generator.randint(1, longest)))
+
+    rules = RuleSet(tuple((f"L{number}", tuple(word(5) for _ in range(4))) for number in range(8)), "NONE")
+    texts = [word(12) for _ in range(400)] + ["", "zzz"]
+    assert labels(spark, texts, lambda t: match_label(t, rules)) == [first_match(text, rules) for text in texts]
+
+
+def test_single_scan_over_shipped_rules(spark):
+    generator = random.Random(4)
+    words = [word for _, listed in expense_rules().rules for word in listed]
+    texts = []
+    for _ in range(1500):
+        pieces = [generator.choice(words)[: generator.randint(1, 20)] for _ in range(generator.randint(1, 4))]
+        texts.append(generator.choice(["", " ", "x"]).join(pieces).upper())
+    assert labels(spark, texts, classify.expense_label) == [first_match(text, expense_rules()) for text in texts]
+
+
+def test_no_rules_mean_the_default(spark):
+    assert labels(spark, ["a"], lambda t: match_label(t, RuleSet((), "NONE"))) == ["NONE"]
+
+
+@pytest.mark.parametrize("broadcast_limit", [classify.BROADCAST_RULES, 0])
+def test_rules_join_equals_expression(spark, monkeypatch, broadcast_limit):
+    monkeypatch.setattr(classify, "BROADCAST_RULES", broadcast_limit)
+    generator = random.Random(5)
+    words = [word for _, listed in expense_rules().rules for word in listed]
+    texts = [" ".join(generator.choices(words + ["lorem", "k", ""], k=3)) for _ in range(200)] + ["", "x"]
+    rows = spark.createDataFrame([(number, text) for number, text in enumerate(texts)], "n int, t string")
+    joined = classify.rules_join(rows, expense_rules().to_dataframe(spark), "n", "t", "MISC")
+    assert [row.category for row in joined.orderBy("n").collect()] == [
+        first_match(text, expense_rules()) for text in texts
+    ]
+    empty = classify.rules_join(rows, spark.createDataFrame([], RULE_SCHEMA), "n", "t", "MISC")
+    assert empty.where("category = 'MISC'").count() == len(texts)
+
+
+def test_replacements_apply_in_order(spark):
+    pairs = {
+        "purchase in terminal - mobile code": "terminal purchase",
+        "orlen": "Orlen gas station",
+        "starbucks": "Starbucks coffee shop",
+        "piotrkowska 157a": "Biedronka - Piotrkowska 157a",
+        "mcdonald's": "McDonalds restaurantonald's",
+        "ORLEN": "ORLEN",
+        "a(b[c": "a(b[c",
+    }
+    assert labels(spark, pairs, classify.cleaned) == list(pairs.values())
+    frame = spark.createDataFrame([("orlen",)], "data string")
+    assert classify.clean_descriptions(frame, {}).collect() == frame.collect()
+    assert classify.clean_descriptions(frame, {"or": "x", "xl": "y"}).first().data == "yen"
+
+
+def test_cleaning_twice_changes_no_label(spark):
+    texts = [text for text, _ in EXPENSE_CASES if text] + ["mcd", "netflix amazon", "title payer references"]
+    once = labels(spark, texts, lambda t: classify.expense_label(classify.cleaned(t)))
+    twice = labels(spark, texts, lambda t: classify.expense_label(classify.cleaned(classify.cleaned(t))))
+    assert once == twice
+
+
+def test_display_rules_in_order(spark):
+    texts = ["apartment", "biedronka", "fuel", "sushi", "kids", "spotify biedronka", "nothing"]
+    pairs = labels(spark, texts, classify.display_pair)
+    assert [pair.category.split(" ", 1)[-1] for pair in pairs] == [
+        "Apartment",
+        "Food",
+        "Car",
+        "Eating Out",
+        "Kids",
+        "Food",
+        "Misc",
+    ]
+    assert tuple(pairs[-1]) == display_rules().default
+
+
+def test_records_are_read_as_label_then_as_text(spark):
+    items = ["FOOD", " food ", "fastfood", "REMOVE_ENTRY", "kebab place", "zwrot", "nothing", ""]
+    frame = spark.createDataFrame([(number, item) for number, item in enumerate(items)], "n int, item string")
+    rows = classify.classify_records(frame).orderBy("n").collect()
+    assert [row.importance for row in rows] == [
+        "Essential",
+        "Essential",
+        "Shouldn't Have",
+        "Needs Review",
+        "Shouldn't Have",
+        "Needs Review",
+        "Needs Review",
+        "Needs Review",
+    ]
+
+
+def test_unknown_labels_get_the_default_pair(spark):
+    frame = spark.createDataFrame([("FOOD",), ("OTHER",), (None,)], "category string")
+    rows = classify.with_display(frame).collect()
+    assert sorted((row.display_category, row.importance) for row in rows)[:2] == [("Misc", "Needs Review")] * 2
+
+
+def test_income_rules_are_separate(spark):
+    assert set(income_rules().labels).isdisjoint(expense_rules().labels)
