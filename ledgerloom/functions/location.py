@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keywords import contains_any
-from ledgerloom.functions.text import SPACE, WORD, quote_path, strip
+from ledgerloom.functions.text import SPACE, WORD, collapse_spaces, quote_path, strip
 
 # Field names left over from bank metadata.
 FIELD_PREFIXES = ("miasto :", "miasto:", "adres :", "adres:", "lokalizacja :", "lokalizacja:")
@@ -85,7 +85,7 @@ MAP_SEARCH_URL = "https://www.google.com/maps/search/"
 # (?d): only \n ends a line, as $ and . see it here.
 _FIELD = rf"{SPACE}*:{SPACE}*"
 _ADDRESS_FIELDS = rf"(?iud)adres{_FIELD}(.*?){SPACE}*(?:miasto{_FIELD}(.*?))?(?:kraj{_FIELD}.*)?$"
-_STREET_AND_NUMBER = rf"{WORD}+{SPACE}+{WORD}+{SPACE}+\p{{Nd}}"
+_STREET_AND_NUMBER = rf"(?<!{WORD}){WORD}++{SPACE}++{WORD}++{SPACE}++\p{{Nd}}"
 
 
 def split_parts(data: Column) -> Column:
@@ -164,18 +164,17 @@ def first_location(parts: Column) -> Column:
 
 def normalise_separators(text: Column) -> Column:
     """``:`` becomes ``, ``; spaces and repeated commas collapse; ends are trimmed."""
-    text = F.regexp_replace(text, rf"{_FIELD}", ", ")
-    text = F.regexp_replace(text, rf"{SPACE}+", " ")
-    text = F.regexp_replace(text, rf",{SPACE}*,", ",")
-    return _trim_list(text)
+    text = F.regexp_replace(collapse_spaces(text), " ?: ?", ", ")
+    return _trim_list(F.regexp_replace(text, ", ?,", ","))
 
 
 def clean_location_text(text: Column) -> Column:
     """Drop the country field and field names, then tidy the separators."""
-    text = F.regexp_replace(text, rf"(?iu){SPACE}*kraj{SPACE}*:{SPACE}*[^,]*", "")
+    country = rf"(?iu)(?<!{SPACE}){SPACE}*+kraj{SPACE}*+:{SPACE}*+[^,]*+"
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), country, "")
     for prefix in FIELD_PREFIXES:
         text = F.replace(text, F.lit(prefix), F.lit(" "))
-    return normalise_separators(F.coalesce(text, F.lit("")))
+    return normalise_separators(text)
 
 
 def restore_diacritics(text: Column) -> Column:
@@ -195,9 +194,7 @@ def map_link(location: Column) -> Column:
         text.contains(",") & (text.rlike(r"\p{Nd}") | contains_any(lowered, CITIES))
     )
     prefixes = "".join(rf"(?:{re.escape(prefix)}{SPACE}*)?" for prefix in FIELD_PREFIXES).replace("k", r"[k\u212a]")
-    tidy = F.regexp_replace(text, rf"(?i)^{prefixes}", "")
-    tidy = F.regexp_replace(
-        tidy, rf"(?iud){SPACE}*:{SPACE}*([^:]+?){SPACE}+kraj{SPACE}*:{SPACE}*{WORD}+$", ", $1"
-    )
+    tidy = collapse_spaces(F.regexp_replace(text, rf"(?i)^{prefixes}", ""))
+    tidy = F.regexp_replace(tidy, rf"(?iu) ?: ?([^:]+?) kraj ?: ?{WORD}+\z", ", $1")
     tidy = normalise_separators(tidy)
     return F.when(geocodable & (tidy != ""), F.concat(F.lit(MAP_SEARCH_URL), quote_path(tidy))).otherwise(F.lit(""))

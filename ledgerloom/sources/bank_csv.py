@@ -73,6 +73,12 @@ def _decodes(line: Column, charset: str) -> Column:
     return F.lit(True)
 
 
+def _as_path(uri: Column) -> Column:
+    """Path of a file URI, with glob characters escaped so that it names one file."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"([\[\]{}*?\\])", r"\\$1")
+
+
 def probe_files(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
     """Per file: ``file``, the first ``charset`` that decodes all of it, ``multiline``.
 
@@ -86,7 +92,7 @@ def probe_files(spark: SparkSession, path: str | list[str], encoding: str | None
     flags = [F.bool_and(_decodes(line, charset)).alias(charset) for charset in order]
     probed = (
         spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
+        .select(_as_path(F.col("_metadata.file_path")).alias("file"), "value")
         .groupBy("file")
         .agg(*flags, F.bool_or(quotes % 2 == 1).alias("multiline"))
     )
@@ -113,6 +119,9 @@ def _read_group(spark: SparkSession, files: list[str], charset: str, multiline:
     fields = [T.StructField(name, T.StringType()) for name in [*names, _RAW]]
     frame = (
         reader.option("mode", "PERMISSIVE")
+        # Whether a record has an unusual length must not depend on the columns
+        # a query happens to use.
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", _RAW)
         .schema(T.StructType(fields))
         .csv(files)
@@ -155,7 +164,10 @@ def read_bank_csv(spark: SparkSession, path: str | list[str], encoding: str | No
             raise ValueError(f"files differ in their number of columns: {len(width)} and {len(names)}")
         width = width or names
         frame = frame.toDF(*width, _RAW, IMPORT_ID, INGEST_ORDER)
-        too_long = F.coalesce(_has_extra_fields(F.col(_RAW), len(names)), F.lit(False))
+        # The length is always true: Spark refuses queries that need nothing but
+        # the raw record, and a count would.
+        any_field = F.length(F.coalesce(F.col(f"`{width[0]}`"), F.lit(""))) >= 0
+        too_long = F.coalesce(_has_extra_fields(F.col(_RAW), len(names)), F.lit(False)) & any_field
         known = [
             F.when(F.col(f"`{name}`").isin(*MISSING_TOKENS), None).otherwise(F.col(f"`{name}`")).alias(name)
             for name in width
