@@ -256,11 +256,7 @@ def stream_reimport(spark: SparkSession, folder: str) -> DataFrame:
         raw.write.parquet(drop)
         frames = spark.readStream.schema(raw.schema).parquet(drop)
         stream = import_frames(
-            frames,
-            lambda batch: assign_txn_ids(normalise(batch)),
-            f"{target}/ledger",
-            f"{target}/checkpoint{number}",
-            stream=f"import{number}",
+            frames, f"{target}/ledger", f"{target}/checkpoint{number}", stream=f"import{number}"
         )
         stream.awaitTermination()
     ledger = spark.read.parquet(f"{target}/ledger")

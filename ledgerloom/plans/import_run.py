@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from ledgerloom.operators.ids import assign_txn_ids
 from ledgerloom.operators.metrics import counted
@@ -24,11 +24,6 @@ class ImportReport:
     missing_amounts: int
 
 
-def identified(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
-    """Normalised rows of bank files with their ids."""
-    return assign_txn_ids(normalise(read_bank_csv(spark, path, encoding).rows))
-
-
 def run_import(spark: SparkSession, source: str | list[str], target: str, encoding: str | None = None) -> ImportReport:
     """Read bank files, write ``target/ledger`` and the exports next to it.
 

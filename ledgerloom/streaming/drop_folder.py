@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerloom.operators.ids import assign_txn_ids
 from ledgerloom.operators.merge import new_rows
+from ledgerloom.operators.normalise import normalise
 from ledgerloom.operators.tracks import label_tracks
-from ledgerloom.plans.import_run import identified
 from ledgerloom.session import configure
+from ledgerloom.sources.bank_csv import read_bank_csv
 
 FILES_PER_BATCH = 1000
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
@@ -27,20 +30,21 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
         raise
 
 
-def fold_import(labelled: DataFrame, ledger: str, stream: str, batch: int) -> None:
+def fold_import(labelled: DataFrame, dated: DataFrame, ledger: str, stream: str, batch: int) -> None:
     """Write the rows of one batch whose ids the ledger lacks.
 
     Each batch owns one folder and is compared with all others, so a batch that
     is run again after a failure replaces its own output and nothing else.
     Equal ids have equal booking dates, so only the ledger's partitions of the
-    batch's months are read.
+    batch's months are read. ``dated`` holds the batch's ``year, month`` and is
+    cheap to read, such as the rows before ids and labels were added.
     """
     spark = labelled.sparkSession
     stored = read_ledger(spark, ledger)
     if stored is not None:
         others = stored.where(~((F.col("stream") == stream) & (F.col("batch") == batch)))
         # One row per calendar month of the batch.
-        months = [tuple(row) for row in labelled.select("year", "month").distinct().collect()]
+        months = [tuple(row) for row in dated.select("year", "month").distinct().collect()]
         by_year: dict[int | None, list[int]] = {}
         for year, month in months:
             by_year.setdefault(year, []).append(month)
@@ -54,18 +58,22 @@ def fold_import(labelled: DataFrame, ledger: str, stream: str, batch: int) -> No
     fresh.hint("rebalance", "year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(target)
 
 
+def _fold_normalised(rows: DataFrame, ledger: str, stream: str, batch: int) -> None:
+    fold_import(label_tracks(assign_txn_ids(rows)), rows, ledger, stream, batch)
+
+
 def import_frames(
     frames: DataFrame,
-    identify: Callable[[DataFrame], DataFrame],
     ledger: str,
     checkpoint: str,
     stream: str = "frames",
+    prepare: Callable[[DataFrame], DataFrame] = normalise,
 ) -> StreamingQuery:
-    """Fold a stream of rows into the ledger; ``identify`` yields rows with ids."""
+    """Fold a stream of rows into the ledger; ``prepare`` yields normalised rows."""
     configure(frames.sparkSession)
 
     def fold(batch: DataFrame, number: int) -> None:
-        fold_import(label_tracks(identify(batch)), ledger, stream, number)
+        _fold_normalised(prepare(batch), ledger, stream, number)
 
     return (
         frames.writeStream.foreachBatch(fold)
@@ -95,6 +103,7 @@ def import_files(
     configure(spark)
     names = (
         spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
@@ -105,7 +114,7 @@ def import_files(
         # At most files_per_batch names.
         files = [row.path for row in batch.collect()]
         if files:
-            fold_import(label_tracks(identified(spark, files, encoding)), ledger, stream, number)
+            _fold_normalised(normalise(read_bank_csv(spark, files, encoding).rows), ledger, stream, number)
 
     writer = names.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

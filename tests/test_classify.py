@@ -86,9 +86,9 @@ def test_no_rules_mean_the_default(spark):
     assert labels(spark, ["a"], lambda t: match_label(t, RuleSet((), "NONE"))) == ["NONE"]
 
 
-@pytest.mark.parametrize("broadcast_limit", [classify.BROADCAST_RULES, 0])
-def test_rules_join_equals_expression(spark, monkeypatch, broadcast_limit):
-    monkeypatch.setattr(classify, "BROADCAST_RULES", broadcast_limit)
+@pytest.mark.parametrize("rules_per_broadcast", [classify.RULES_PER_BROADCAST, 100])
+def test_rules_join_equals_first_match(spark, monkeypatch, rules_per_broadcast):
+    monkeypatch.setattr(classify, "RULES_PER_BROADCAST", rules_per_broadcast)
     generator = random.Random(5)
     words = [word for _, listed in expense_rules().rules for word in listed]
     texts = [" ".join(generator.choices(words + ["lorem", "k", ""], k=3)) for _ in range(200)] + ["", "x"]
