@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -10,6 +11,14 @@ from pyspark.sql import functions as F
 from ledgerloom.rules import RuleSet
 
 
+def constant(value: object, kind: str) -> Column:
+    """A nested constant; folded into a literal when the query is optimised.
+
+    One call instead of one per element, which takes longer than small queries.
+    """
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def keyword_pattern(keywords: list[str]) -> str:
     """Regex for the longest keyword starting at a position.
 
@@ -69,7 +78,7 @@ def match_priority(text: Column, rules: RuleSet) -> Column:
         return F.lit(None).cast("int")
     words = list(priorities)
     best = {word: min(priorities[other] for other in words if other in word) for word in words}
-    ranks = F.create_map(*[F.lit(item) for pair in best.items() for item in pair])
+    ranks = constant(best, "map<string,int>")
     pattern = f"{_possible_start(words)}(?=({keyword_pattern(words)}))"
     hits = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
     return F.array_min(F.transform(hits, lambda word: F.element_at(ranks, word)))
@@ -79,5 +88,5 @@ def match_label(text: Column, rules: RuleSet) -> Column:
     """First matching label of the rule set, or its default label."""
     if not rules.rules:
         return F.lit(rules.default)
-    labels = F.array(*[F.lit(label) for label in rules.labels])
+    labels = constant(rules.labels, "array<string>")
     return F.coalesce(F.get(labels, match_priority(text, rules)), F.lit(rules.default))

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.keywords import match_label, match_priority
+from ledgerloom.functions.keywords import constant, match_label, match_priority
 from ledgerloom.functions.text import strip
 from ledgerloom.rules import DisplayRules, RuleSet, display_rules, expense_rules, income_rules
 
@@ -66,12 +66,11 @@ def display_pair(text: Column, display: DisplayRules | None = None, rules: RuleS
     """Struct ``category, importance`` of a free text."""
     display = display or display_rules()
 
-    def pair(category: str, importance: str) -> Column:
-        return F.struct(F.lit(category).alias("category"), F.lit(importance).alias("importance"))
-
-    pairs = F.array(*[pair(category, importance) for category, importance, _ in display.pairs])
+    kind = "struct<category:string,importance:string>"
+    pairs = [{"category": category, "importance": importance} for category, importance, _ in display.pairs]
+    default = dict(zip(("category", "importance"), display.default, strict=True))
     position = match_priority(text, display.matching(rules or expense_rules()))
-    return F.coalesce(F.get(pairs, position), pair(*display.default))
+    return F.coalesce(F.get(constant(pairs, f"array<{kind}>"), position), constant(default, kind))
 
 
 def with_display(df: DataFrame, label: str = "category") -> DataFrame:

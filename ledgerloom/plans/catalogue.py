@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.keywords import constant
 from ledgerloom.functions.location import map_link, restore_diacritics, split_parts
 from ledgerloom.functions.text import (
     amount_value,
     float_text,
-    is_missing,
     minor_units,
     quote_path,
     sheet_guard,
-    strict_double,
 )
 from ledgerloom.operators import classify, review
 from ledgerloom.operators.ids import assign_txn_ids, with_occurrence
@@ -116,7 +115,7 @@ def classify_display(spark: SparkSession, folder: str) -> DataFrame:
 def label_or_text_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Every other item is a label in lower case with blanks, the rest free text."""
     rules = expense_rules()
-    labels = F.array(*[F.lit(label) for label in [*rules.labels, rules.default]])
+    labels = constant([*rules.labels, rules.default], "array<string>")
     number = F.col("event_id")
     label = F.lower(F.get(labels, (number % (len(rules.labels) + 1)).cast("int")))
     rows = _event_id(raw_events(spark, folder))
@@ -144,7 +143,7 @@ def refund_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def amount_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Amounts with blanks, underscores, missing and infinite values; junk on refunds only."""
-    number = F.col("event_id")
+    number = F.col(INGEST_ORDER)
     amount = (
         F.when(number % 11 == 1, F.lit(" 5.0 "))
         .when(number % 11 == 2, F.lit("NaN"))
@@ -153,10 +152,11 @@ def amount_gate(spark: SparkSession, folder: str) -> DataFrame:
         .when(number % 11 == 5, F.lit("1_000"))
         .otherwise(F.col("amount"))
     )
-    rows = _event_id(_events(spark, folder)).withColumn("refund", classify.expense_label(F.col("data")) == REFUND_LABEL)
-    rows = rows.select("event_id", "refund", F.when(F.col("refund"), F.lit("junk")).otherwise(amount).alias("amount"))
-    parsed = rows.withColumn("value", F.when(~F.col("refund"), strict_double(F.col("amount")))).where(~F.col("refund"))
-    return parsed.where(~is_missing(F.col("value"))).select("event_id", float_text(F.col("value")).alias("value"))
+    rows = _events(spark, folder).withColumns(
+        {"event_id": number, "refund": classify.expense_label(F.col("data")) == REFUND_LABEL}
+    )
+    labelled = label_tracks(rows.withColumn("amount", F.when(F.col("refund"), F.lit("junk")).otherwise(amount)))
+    return labelled.select("event_id", "track", "amount")
 
 
 @query

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.keywords import constant
 from ledgerloom.operators.normalise import INGEST_ORDER, RAW_COLUMNS
 
 # (description, extra text, location block) of the ledger rows.
@@ -94,8 +95,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _merchant(number: Column) -> Column:
     fields = ("description", "extra", "place")
-    listed = [F.struct(*[F.lit(text).alias(name) for text, name in zip(row, fields, strict=True)]) for row in MERCHANTS]
-    return F.element_at(F.array(*listed), (number % len(MERCHANTS)).cast("int") + 1)
+    listed = constant(
+        [dict(zip(fields, row, strict=True)) for row in MERCHANTS],
+        "array<struct<description:string,extra:string,place:string>>",
+    )
+    return F.get(listed, (number % len(MERCHANTS)).cast("int"))
 
 
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,7 +107,7 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "events")
     number = F.col("event_id")
     is_fee = number % 3 == 0
-    merchant = F.when(is_fee, _merchant(F.lit(0))).otherwise(_merchant(number))
+    merchant = _merchant(F.when(is_fee, F.lit(0)).otherwise(number))
     day = F.date_format("ts", "yyyy-MM-dd")
     booked = F.when(is_fee, F.date_format(F.trunc("ts", "month"), "yyyy-MM-dd")).otherwise(day)
     kind = F.lit(None).cast("string")

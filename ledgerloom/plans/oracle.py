@@ -325,7 +325,8 @@ SQL: dict[str, str] = {
   SELECT event_id, CASE WHEN coalesce(txn_type, '') <> 'nan' THEN {EXPENSE_LABEL} END AS category FROM norm)
   WHERE category IS DISTINCT FROM '{REFUND_LABEL}'""",
     "amount_gate": ctes(*EVENTS)
-    + f"""SELECT event_id, CAST(value AS VARCHAR) AS value FROM (
+    + f"""SELECT event_id, CASE WHEN value > 0 THEN 'income' ELSE 'expense' END AS track,
+       CASE WHEN isinf(value) THEN 'inf' ELSE CAST(abs(value) AS VARCHAR) END AS amount FROM (
   SELECT event_id, CASE event_id % 11 WHEN 1 THEN 5.0 WHEN 2 THEN 'NaN'::DOUBLE WHEN 3 THEN NULL
          WHEN 4 THEN '-inf'::DOUBLE WHEN 5 THEN 1000.0 ELSE CAST(amount AS DOUBLE) END AS value
   FROM norm WHERE ({EXPENSE_LABEL}) <> '{REFUND_LABEL}') WHERE NOT isnan(value)""",
