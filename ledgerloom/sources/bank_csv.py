@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,10 @@ def _decodes(line: Column, charset: str) -> Column:
     return F.lit(True)
 
 
+def _quotes(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+
+
 def _as_path(uri: Column) -> Column:
     """Path of a file URI, with glob characters escaped so that it names one file."""
     decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
@@ -88,13 +92,12 @@ def probe_files(spark: SparkSession, path: str | list[str], encoding: str | None
     """
     line = F.col("value")
     order = charset_order(encoding)
-    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
     flags = [F.bool_and(_decodes(line, charset)).alias(charset) for charset in order]
     probed = (
         spark.read.text(path)
         .select(_as_path(F.col("_metadata.file_path")).alias("file"), "value")
         .groupBy("file")
-        .agg(*flags, F.bool_or(quotes % 2 == 1).alias("multiline"))
+        .agg(*flags, F.bool_or(_quotes(line) % 2 == 1).alias("multiline"))
     )
     picked = F.coalesce(*[F.when(F.col(charset), F.lit(charset)) for charset in order])
     return probed.select("file", picked.alias("charset"), "multiline")
@@ -106,24 +109,28 @@ def _has_extra_fields(record: Column, columns: int) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) >= columns
 
 
-def _read_group(spark: SparkSession, files: list[str], charset: str, multiline: bool) -> tuple[DataFrame, list[str]]:
-    """Files of one charset, with the raw text of every record of unusual length."""
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", charset)
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-    )
-    names = reader.csv(files[0]).columns
-    fields = [T.StructField(name, T.StringType()) for name in [*names, _RAW]]
-    frame = (
-        reader.option("mode", "PERMISSIVE")
+def _csv_options(charset: str) -> dict[str, str]:
+    return {"header": "true", "encoding": charset, "quote": '"', "escape": '"'}
+
+
+def _header(spark: SparkSession, file: str, charset: str, multiline: bool) -> list[str]:
+    return spark.read.options(**_csv_options(charset)).option("multiLine", multiline).csv(file).columns
+
+
+def _with_raw(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in [*names, _RAW]])
+
+
+def _read_lines(spark: SparkSession, files: list[str], charset: str, names: list[str]) -> DataFrame:
+    """Files with one record per line, with the raw text of records of unusual length."""
+    return (
+        spark.read.options(**_csv_options(charset))
+        .option("mode", "PERMISSIVE")
         # Whether a record has an unusual length must not depend on the columns
         # a query happens to use.
         .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", _RAW)
-        .schema(T.StructType(fields))
+        .schema(_with_raw(names))
         .csv(files)
         .select(
             "*",
@@ -131,7 +138,70 @@ def _read_group(spark: SparkSession, files: list[str], charset: str, multiline:
             F.monotonically_increasing_id().alias(INGEST_ORDER),
         )
     )
-    return frame, names
+
+
+def wrapped_records(spark: SparkSession, files: list[str], charset: str) -> DataFrame:
+    """Records of files whose quoted fields run over line ends, without the header.
+
+    Spark's own reader takes such a file as a whole in one task. Here lines are
+    read in splits; a line opens a record when the quotes before it in the file
+    are even in number. Quotes are counted per split, and each split receives the
+    parity and the open record of the splits before it, one row per split. Only
+    lines of records that do span lines are grouped.
+    """
+    text = F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), charset)
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias(IMPORT_ID),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+        text.alias("text"),
+        (_quotes(F.col("value")) % 2).alias("odd"),
+    )
+    split = Window.partitionBy(IMPORT_ID, "split")
+    before = split.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = split.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = lines.withColumns(
+        {
+            "odd_before": F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2,
+            "first": F.min(F.when((F.col("split") == 0) & (F.col("text") != ""), F.col("line"))).over(split),
+        }
+    )
+    # The last line that opens a record, for either parity at the split's start.
+    splits = counted.groupBy(IMPORT_ID, "split").agg(
+        F.sum("odd").alias("odd"),
+        *[F.max(F.when(F.col("odd_before") == parity, F.col("line"))).alias(f"last{parity}") for parity in (0, 1)],
+    )
+    earlier = Window.partitionBy(IMPORT_ID).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    entered = splits.withColumn("odd_in", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2).withColumn(
+        "last", F.when(F.col("odd_in") == 0, F.col("last0")).otherwise(F.col("last1"))
+    )
+    carried = entered.select(IMPORT_ID, "split", "odd_in", F.last("last", True).over(earlier).alias("open_record"))
+    opens = (F.col("odd_before") + F.col("odd_in")) % 2 == 0
+    placed = (
+        counted.join(carried, [IMPORT_ID, "split"])
+        .withColumn("opens", opens)
+        .withColumn("record", F.last(F.when(F.col("opens"), F.col("line")), True).over(so_far))
+        .withColumn("record", F.coalesce("record", "open_record"))
+    )
+    whole = F.col("opens") & (F.col("odd") == 0)
+    alone = placed.where(whole & ~F.col("record").eqNullSafe(F.col("first"))).select(IMPORT_ID, "record", "text")
+    pieces = F.sort_array(F.collect_list(F.struct("split", "line", "text")))
+    spanning = (
+        placed.where(~whole)
+        .groupBy(IMPORT_ID, "record")
+        .agg(F.array_join(F.transform(pieces, lambda piece: piece["text"]), "\n").alias("text"), F.min("first").alias("first"))
+        .where(~F.col("record").eqNullSafe(F.col("first")))
+        .select(IMPORT_ID, "record", "text")
+    )
+    return alone.unionAll(spanning).where(F.col("text") != "")
+
+
+def _read_wrapped(spark: SparkSession, files: list[str], charset: str, names: list[str]) -> DataFrame:
+    """The same as ``_read_lines`` for files with records that span lines."""
+    options = _csv_options(charset) | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW}
+    schema = ", ".join(f"`{name}` string" for name in _with_raw(names).names)
+    parsed = wrapped_records(spark, files, charset).withColumn("fields", F.from_csv("text", schema, options))
+    return parsed.select("fields.*", IMPORT_ID, F.col("record").alias(INGEST_ORDER))
 
 
 def read_bank_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> BankCsv:
@@ -143,8 +213,8 @@ def read_bank_csv(spark: SparkSession, path: str | list[str], encoding: str | No
     carry the file they came from (``_import_id``) and their position
     (``_ingest_order``).
 
-    Only names of files pass through the driver, one per input file. A file is
-    read in splits unless a quoted field in it spans lines.
+    Only names of files pass through the driver, one per input file; files are
+    read in splits, also where quoted fields span lines.
     """
     configure(spark)
     groups = (
@@ -159,7 +229,9 @@ def read_bank_csv(spark: SparkSession, path: str | list[str], encoding: str | No
     rows, skipped = [], []
     width: list[str] | None = None
     for group in groups:
-        frame, names = _read_group(spark, group.files, group.charset, group.multiline)
+        names = _header(spark, group.files[0], group.charset, group.multiline)
+        read = _read_wrapped if group.multiline else _read_lines
+        frame = read(spark, group.files, group.charset, names)
         if width is not None and len(names) != len(width):
             raise ValueError(f"files differ in their number of columns: {len(width)} and {len(names)}")
         width = width or names

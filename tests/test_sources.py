@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import csv
 import gzip
+import io
+import random
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -108,6 +111,33 @@ def test_quoted_line_ends(spark, tmp_path):
     assert files.skipped.count() == 0
 
 
+@pytest.mark.parametrize("split_bytes", [60, 333, 10**8])
+@pytest.mark.parametrize("charset, line_end", [("utf-8-sig", "\n"), ("cp1250", "\r\n")])
+def test_records_across_splits(spark, tmp_path, split_bytes, charset, line_end):
+    generator = random.Random(split_bytes)
+    rows = []
+    for number in range(120):
+        text = "".join(generator.choice(["a", "Ż", ",", '"', "\n", "\n\n", " ", "b" * 40]) for _ in range(8))
+        rows.append([f"{number}", text.strip() or "x", generator.choice(["", "plain", "y\nz"])])
+    for name, part in (("a.csv", rows[:70]), ("b.csv", rows[70:])):
+        buffer = io.StringIO()
+        writer = csv.writer(buffer, lineterminator="\n")
+        writer.writerow(["no", "long\nname", "note"])
+        writer.writerows(part)
+        (tmp_path / name).write_bytes(("\n" + buffer.getvalue()).replace("\n", line_end).encode(charset))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        files = read_bank_csv(spark, str(tmp_path))
+        found = files.rows.orderBy(IMPORT_ID, INGEST_ORDER).collect()
+        assert files.skipped.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert files.rows.columns[0] == "no"
+    assert sorted(([row[0], row[1], row[2] or ""] for row in found), key=lambda row: int(row[0])) == rows
+    assert [row.no for row in found] == [row[0] for row in rows]
+
+
 def test_gzip_and_line_end_styles(spark, tmp_path):
     with gzip.open(tmp_path / "a.csv.gz", "wb") as target:
         target.write((HEADER + bank_line(POLISH)).replace("\n", "\r\n").encode("cp1250"))
