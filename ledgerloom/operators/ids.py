@@ -92,7 +92,7 @@ def _hot_hashes(keyed: DataFrame, hot_rows: int) -> DataFrame:
     many = F.col("count") > hot_rows
     crowds = keyed.groupBy("_crowd").count().where(many).select("_crowd")
     suspects = keyed.join(F.broadcast(crowds), "_crowd", "left_semi")
-    return suspects.groupBy("_hash").count().where(many).select("_hash", F.lit(True).alias("_hot"))
+    return suspects.groupBy("_hash").count().where(many).select(F.col("_hash").alias("_hot"))
 
 
 def occurrence_index(keyed: DataFrame, hot_rows: int = HOT_ROWS, slice_bits: int = SLICE_BITS) -> DataFrame:
@@ -104,13 +104,15 @@ def occurrence_index(keyed: DataFrame, hot_rows: int = HOT_ROWS, slice_bits: int
     have a single slice and need no correction.
     """
     group = ["_hash", "_group", *_KEY]
-    sliced = keyed.join(F.broadcast(_hot_hashes(keyed, hot_rows)), "_hash", "left").withColumn(
-        "_slice", F.when(F.col("_hot"), F.shiftright("_order", slice_bits)).otherwise(F.lit(-1).cast("bigint"))
+    hot = F.broadcast(_hot_hashes(keyed, hot_rows))
+    is_hot = F.col("_hot").isNotNull()
+    sliced = keyed.join(hot, F.col("_hash") == F.col("_hot"), "left").withColumn(
+        "_slice", F.when(is_hot, F.shiftright("_order", slice_bits)).otherwise(F.lit(-1).cast("bigint"))
     )
     within = Window.partitionBy(*group, "_slice").orderBy("_order")
     counted = sliced.withColumn("_rank", F.row_number().over(within) - 1)
     # Only hot rows are pre-aggregated here, down to one row per key and slice.
-    sizes = sliced.where("_hot").groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sliced.where(is_hot).groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_slice", F.sum("_size").over(earlier).alias("_offset"))
     return (

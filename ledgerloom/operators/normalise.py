@@ -42,10 +42,10 @@ def bookkeeping(df: DataFrame) -> list[str]:
 
 
 def strict_date(value: Column) -> Column:
-    """Date of a text, date or timestamp; a non-empty unparseable text fails."""
+    """Date of a text, date or timestamp; a non-blank unparseable text fails."""
     parsed = value.try_cast("date")
-    broken = value.isNotNull() & parsed.isNull()
-    return F.when(broken, F.raise_error(F.lit("booking_date is not a date")).cast("date")).otherwise(parsed)
+    broken = parsed.isNull() & (F.trim(value.cast("string")) != "")
+    return F.when(F.coalesce(broken, F.lit(False)), F.raise_error(F.lit("booking_date is not a date")).cast("date")).otherwise(parsed)
 
 
 def merged_text(*texts: Column) -> Column:

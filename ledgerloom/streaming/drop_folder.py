@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,7 @@ from ledgerloom.session import configure
 from ledgerloom.sources.bank_csv import read_bank_csv
 
 FILES_PER_BATCH = 1000
+MOST_MONTHS = 600
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -30,6 +31,23 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
         raise
 
 
+def _in_months_of(dated: DataFrame) -> Column:
+    """Condition that prunes a ledger to the months of a batch.
+
+    Batches that touch very many months are compared with the whole ledger.
+    """
+    months = dated.select("year", "month").distinct().limit(MOST_MONTHS + 1).collect()
+    if len(months) > MOST_MONTHS:
+        return F.lit(True)
+    by_year: dict[int | None, list[int]] = {}
+    for year, month in months:
+        by_year.setdefault(year, []).append(month)
+    wanted = F.lit(False)
+    for year, of_year in by_year.items():
+        wanted |= F.col("year").isNull() if year is None else (F.col("year") == year) & F.col("month").isin(of_year)
+    return wanted
+
+
 def fold_import(labelled: DataFrame, dated: DataFrame, ledger: str, stream: str, batch: int) -> None:
     """Write the rows of one batch whose ids the ledger lacks.
 
@@ -43,15 +61,7 @@ def fold_import(labelled: DataFrame, dated: DataFrame, ledger: str, stream: str,
     stored = read_ledger(spark, ledger)
     if stored is not None:
         others = stored.where(~((F.col("stream") == stream) & (F.col("batch") == batch)))
-        # One row per calendar month of the batch.
-        months = [tuple(row) for row in dated.select("year", "month").distinct().collect()]
-        by_year: dict[int | None, list[int]] = {}
-        for year, month in months:
-            by_year.setdefault(year, []).append(month)
-        wanted = F.lit(False)
-        for year, of_year in by_year.items():
-            wanted |= F.col("year").isNull() if year is None else (F.col("year") == year) & F.col("month").isin(of_year)
-        fresh = new_rows(labelled, others.where(wanted))
+        fresh = new_rows(labelled, others.where(_in_months_of(dated)))
     else:
         fresh = new_rows(labelled, labelled.limit(0))
     target = f"{ledger}/stream={stream}/batch={batch}"

@@ -148,7 +148,7 @@ def test_slices_bound_the_window_groups(spark):
     keyed = ids._keyed(frame(spark, rows, schema))
     hot = ids._hot_hashes(keyed, 100).collect()
     fee = keyed.where("data = 'fee'").select("_hash").distinct().collect()
-    assert {row._hash for row in hot} == {row._hash for row in fee}
+    assert {row._hot for row in hot} == {row._hash for row in fee}
 
 
 def test_overlapping_imports_share_ids(spark):

@@ -187,6 +187,11 @@ def test_bad_booking_date_fails(spark, tmp_path):
         normalise(read_bank_csv(spark, str(tmp_path)).rows).collect()
 
 
+def test_blank_dates_are_missing(spark):
+    raw = spark.createDataFrame([("", " ", "a", "1", "PLN", "b", "c", "d", "e")], ", ".join(f"c{n} string" for n in range(9)))
+    assert normalise(raw).select("booking_date", "value_date", "year").first() == (None, None, None)
+
+
 def test_processed_files_are_read_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text(
         "txn_id,amount,category,year,month\nx,5.0,FOOD,2025,9\ny,1.0,my kebab,2025,10\n", encoding="utf-8-sig"

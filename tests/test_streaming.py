@@ -6,6 +6,7 @@ from ledgerloom.operators.ids import assign_txn_ids
 from ledgerloom.operators.normalise import normalise
 from ledgerloom.operators.tracks import label_tracks
 from ledgerloom.sources.bank_csv import read_bank_csv
+from ledgerloom.streaming import drop_folder
 from ledgerloom.streaming.drop_folder import fold_import, import_files, read_ledger
 from tests.test_sources import HEADER, bank_line
 
@@ -46,6 +47,14 @@ def test_copies_within_one_batch_count_once(spark, tmp_path):
     assert run(spark, tmp_path).count() == 2
 
 
+def test_batches_with_very_many_months(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(drop_folder, "MOST_MONTHS", 0)
+    drop(tmp_path / "in", "a.csv", "Biedronka", "Orlen")
+    assert run(spark, tmp_path).count() == 2
+    drop(tmp_path / "in", "b.csv", "Biedronka", "Netflix")
+    assert run(spark, tmp_path).count() == 3
+
+
 def test_repeated_batch_replaces_its_own_output(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     assert read_ledger(spark, ledger) is None
