@@ -9,11 +9,7 @@ from pyspark.sql import SparkSession
 
 # Bank files come in windows-1250, which Spark 4 only decodes with the legacy
 # charset list; dates and amounts are compared in UTC and with ANSI casts.
-# Long chains of text expressions exceed the 8,000 bytecodes up to which the JVM
-# compiles a method; at this limit Spark splits them up instead of having them
-# interpreted.
 SETTINGS = {
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
