@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,8 +58,11 @@ def _possible_start(keywords: list[str]) -> str:
 
 
 def contains_any(text: Column, keywords: list[str] | tuple[str, ...]) -> Column:
-    """True when the text contains any of the keywords (case-sensitive)."""
-    return text.rlike(keyword_pattern(list(keywords))) if keywords else F.lit(False)
+    """True when the text contains any of a few keywords (case-sensitive).
+
+    Plain searches are faster than a regex up to about a hundred keywords.
+    """
+    return reduce(Column.__or__, [text.contains(F.lit(keyword)) for keyword in keywords], F.lit(False))
 
 
 def match_priority(text: Column, rules: RuleSet) -> Column:

@@ -171,7 +171,8 @@ def normalise_separators(text: Column) -> Column:
 def clean_location_text(text: Column) -> Column:
     """Drop the country field and field names, then tidy the separators."""
     country = rf"(?iu)(?<!{SPACE}){SPACE}*+kraj{SPACE}*+:{SPACE}*+[^,]*+"
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), country, "")
+    domestic = F.when(F.lower(text).contains("kraj"), F.regexp_replace(text, country, "")).otherwise(text)
+    text = F.coalesce(domestic, F.lit(""))
     for prefix in FIELD_PREFIXES:
         text = F.replace(text, F.lit(prefix), F.lit(" "))
     return normalise_separators(text)

@@ -21,8 +21,9 @@ def with_location(df: DataFrame, data: str = "data") -> DataFrame:
     """
     return (
         df.withColumn("_parts", split_parts(F.col(data)))
-        .withColumn("_raw", clean_location_text(first_location(F.col("_parts"))))
-        .withColumn("extracted_location", restore_diacritics(F.col("_raw")))
+        .withColumn("_raw", first_location(F.col("_parts")))
+        .withColumn("_tidy", clean_location_text(F.col("_raw")))
+        .withColumn("extracted_location", restore_diacritics(F.col("_tidy")))
         .withColumn("google_maps_link", map_link(F.col("extracted_location")))
-        .drop("_parts", "_raw")
+        .drop("_parts", "_raw", "_tidy")
     )
