@@ -356,6 +356,34 @@ def bank_csv_import(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def bank_csv_wrapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Bank files whose descriptions run over line ends."""
+    target = scratch_folder(spark, "wrapped-csv")
+    text = F.concat_ws("\n", "description", F.lit('second "line", quoted'), F.lit(""))
+    written = raw_events(spark, folder).withColumns(
+        {"description": text, "unnamed_8": F.col(INGEST_ORDER).cast("string")}
+    )
+    writer = written.select(*RAW_COLUMNS).write.option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(target)
+    rows = normalise(read_bank_csv(spark, target).rows)
+    return rows.select("description", "amount", "data")
+
+
+@query
+def skipped_bank_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records set aside because error events were written with a field too many."""
+    target = scratch_folder(spark, "skipped-csv")
+    raw = raw_events(spark, folder).withColumn("unnamed_8", F.col(INGEST_ORDER).cast("string"))
+    quoted = [F.concat(F.lit('"'), F.coalesce(F.col(name), F.lit("")), F.lit('"')) for name in RAW_COLUMNS]
+    extra = F.when(F.col("txn_type").isNull(), F.lit(",extra")).otherwise(F.lit(""))
+    line = F.concat(F.concat_ws(",", *quoted), extra)
+    # Separator and quote that never occur, so that whole lines are written as they are.
+    writer = raw.select(line.alias(",".join(RAW_COLUMNS))).write.option("header", True)
+    writer.option("sep", "\x01").option("quote", "\x02").option("escape", "\x02").csv(target)
+    return read_bank_csv(spark, target).skipped.select("record")
+
+
 @query
 def ledger_table(spark: SparkSession, folder: str) -> DataFrame:
     """Both tracks written as the partitioned ledger and read back."""

@@ -395,6 +395,18 @@ SQL: dict[str, str] = {
         NORM,
     )
     + f"SELECT * EXCLUDE (event_id) REPLACE ({ISO_DATES}) FROM norm",
+    "bank_csv_wrapped": ctes(
+        MERCHANT_ROWS,
+        RAW.replace("raw AS (", "source AS (", 1),
+        """raw AS (SELECT * REPLACE (CAST(event_id AS VARCHAR) AS unnamed_8, nullif(unnamed_6, '') AS unnamed_6,
+       nullif(data, '') AS data, nullif(txn_type, 'nan') AS txn_type,
+       concat_ws(chr(10), description, 'second "line", quoted', '') AS description) FROM source)""",
+        NORM,
+    )
+    + "SELECT description, amount, data FROM norm",
+    "skipped_bank_records": ctes(MERCHANT_ROWS, RAW)
+    + """SELECT '"' || concat_ws('","', booking_date, value_date, coalesce(txn_type, ''), amount, currency,
+       coalesce(description, ''), unnamed_6, data, event_id) || '",extra' AS record FROM raw WHERE txn_type IS NULL""",
     "ledger_table": ctes(*TRACKS)
     + "SELECT *, 'expense' AS track FROM expenses UNION ALL SELECT *, 'income' AS track FROM incomes",
     "processed_readback": ctes(*TRACKS, DISPLAY)
