@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.text import amount_value, minor_units, normalise_description, strip
 from ledgerloom.operators.normalise import IMPORT_ID, INGEST_ORDER
+from ledgerloom.session import configure
 
 ALGORITHM_VERSION = "v1"
 TXN_ID_LENGTH = 67
@@ -61,6 +62,7 @@ def _keyed(df: DataFrame) -> DataFrame:
     missing = REQUIRED - set(df.columns)
     if missing:
         raise ValueError(f"assign_txn_ids: missing required columns {sorted(missing)}")
+    configure(df.sparkSession)
     has = set(df.columns)
     numeric = isinstance(df.schema["amount"].dataType, T.NumericType)
     keyed = df.withColumn("_value", amount_value(F.col("amount"), numeric)).withColumns(
@@ -137,7 +139,8 @@ def assign_txn_ids(
 
     ``_ingest_order`` (distinct whole numbers) decides which of several
     identical rows gets which occurrence, ``_import_id`` restarts the count;
-    both are optional. ``collisions`` receives ``repeated_rows``, the number of
+    both are optional. Without an order the position in the scan is taken, so
+    the rows must then come straight from files or a checkpoint. ``collisions`` receives ``repeated_rows``, the number of
     rows that needed an occurrence above zero, in the same pass.
     """
     counted = occurrence_index(_keyed(df), hot_rows, slice_bits)

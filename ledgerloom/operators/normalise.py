@@ -45,7 +45,8 @@ def strict_date(value: Column) -> Column:
     """Date of a text, date or timestamp; a non-blank unparseable text fails."""
     parsed = value.try_cast("date")
     broken = parsed.isNull() & (F.trim(value.cast("string")) != "")
-    return F.when(F.coalesce(broken, F.lit(False)), F.raise_error(F.lit("booking_date is not a date")).cast("date")).otherwise(parsed)
+    failure = F.raise_error(F.lit("booking_date is not a date")).cast("date")
+    return F.when(F.coalesce(broken, F.lit(False)), failure).otherwise(parsed)
 
 
 def merged_text(*texts: Column) -> Column:

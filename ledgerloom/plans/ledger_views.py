@@ -158,9 +158,9 @@ def orders_ledger(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey",
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("booking_date"),
         F.when(F.col("c_acctbal") < 5000, F.concat(F.lit("-"), price)).otherwise(price).alias("amount"),
-        F.lower(F.concat_ws("//", "o_orderpriority", "c_mktsegment", _merchant(F.col("o_orderkey"))["description"])).alias(
-            "data"
-        ),
+        F.lower(
+            F.concat_ws("//", "o_orderpriority", "c_mktsegment", _merchant(F.col("o_orderkey"))["description"])
+        ).alias("data"),
         F.dayofmonth("o_orderdate").alias("day"),
         F.month("o_orderdate").alias("month"),
         F.year("o_orderdate").alias("year"),

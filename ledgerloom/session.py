@@ -16,10 +16,20 @@ SETTINGS = {
 }
 
 
+SPLIT_COUNT = "spark.sql.files.minPartitionNum"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings every plan in this package relies on."""
+    """Apply the settings every plan in this package relies on.
+
+    Row positions are compared between scans of the same files, so the splits
+    must not follow the number of executors that happen to be up: their number
+    is fixed once per session unless the cluster sets it.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if spark.conf.get(SPLIT_COUNT, None) is None:
+        spark.conf.set(SPLIT_COUNT, str(spark.sparkContext.defaultParallelism))
     return spark
 
 

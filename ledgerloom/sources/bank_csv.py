@@ -189,7 +189,10 @@ def wrapped_records(spark: SparkSession, files: list[str], charset: str) -> Data
     spanning = (
         placed.where(~whole)
         .groupBy(IMPORT_ID, "record")
-        .agg(F.array_join(F.transform(pieces, lambda piece: piece["text"]), "\n").alias("text"), F.min("first").alias("first"))
+        .agg(
+            F.array_join(F.transform(pieces, lambda piece: piece["text"]), "\n").alias("text"),
+            F.min("first").alias("first"),
+        )
         .where(~F.col("record").eqNullSafe(F.col("first")))
         .select(IMPORT_ID, "record", "text")
     )
