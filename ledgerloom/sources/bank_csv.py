@@ -73,8 +73,31 @@ def _decodes(line: Column, charset: str) -> Column:
     return F.lit(True)
 
 
-def _quotes(line: Column) -> Column:
-    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+# A quote closes a field only in front of a separator or the line's end; quotes
+# inside an unquoted field are ordinary characters.
+_CLOSING = r'"(?=,|\z)'
+
+
+def _without_escapes(line: Column) -> Column:
+    """The line without doubled quotes, which neither open nor close anything."""
+    return F.replace(line, F.lit('""'), F.lit(""))
+
+
+def _left_open(bare: Column) -> Column:
+    """Whether a line that starts outside quotes ends inside a quoted field."""
+    return F.regexp_replace(bare, rf'(?s)(^|,)".*?{_CLOSING}', "$1").rlike('(?:^|,)"')
+
+
+def opens_quotes(line: Column) -> Column:
+    """Whether a line ends inside quotes when it starts outside."""
+    return line.contains('"') & _left_open(_without_escapes(line))
+
+
+def keeps_quotes(line: Column) -> Column:
+    """Whether a line ends inside quotes when it starts inside."""
+    bare = _without_escapes(line)
+    closing = rf"(?s)^.*?{_CLOSING}"
+    return ~bare.rlike(closing) | _left_open(F.regexp_replace(bare, closing, ""))
 
 
 def _as_path(uri: Column) -> Column:
@@ -87,8 +110,8 @@ def probe_files(spark: SparkSession, path: str | list[str], encoding: str | None
     """Per file: ``file``, the first ``charset`` that decodes all of it, ``multiline``.
 
     Reads raw lines, so large files are probed in splits; flags are combined
-    per file before the shuffle. A line with an odd number of quotes shows that
-    a quoted field runs over a line end.
+    per file before the shuffle. A line that leaves a quoted field open shows
+    that records run over line ends.
     """
     line = F.col("value")
     order = charset_order(encoding)
@@ -97,7 +120,7 @@ def probe_files(spark: SparkSession, path: str | list[str], encoding: str | None
         spark.read.text(path)
         .select(_as_path(F.col("_metadata.file_path")).alias("file"), "value")
         .groupBy("file")
-        .agg(*flags, F.bool_or(_quotes(line) % 2 == 1).alias("multiline"))
+        .agg(*flags, F.bool_or(opens_quotes(line)).alias("multiline"))
     )
     picked = F.coalesce(*[F.when(F.col(charset), F.lit(charset)) for charset in order])
     return probed.select("file", picked.alias("charset"), "multiline")
@@ -105,7 +128,7 @@ def probe_files(spark: SparkSession, path: str | list[str], encoding: str | None
 
 def _has_extra_fields(record: Column, columns: int) -> Column:
     """Whether a record text has more fields than columns."""
-    unquoted = F.regexp_replace(record, r'(^|,)"(?:[^"]|"")*"', "$1")
+    unquoted = F.regexp_replace(_without_escapes(record), rf'(?s)(^|,)".*?{_CLOSING}', "$1")
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) >= columns
 
 
@@ -144,46 +167,65 @@ def wrapped_records(spark: SparkSession, files: list[str], charset: str) -> Data
     """Records of files whose quoted fields run over line ends, without the header.
 
     Spark's own reader takes such a file as a whole in one task. Here lines are
-    read in splits; a line opens a record when the quotes before it in the file
-    are even in number. Quotes are counted per split, and each split receives the
-    parity and the open record of the splits before it, one row per split. Only
-    lines of records that do span lines are grouped.
+    read in splits, and a line opens a record if it starts outside quotes. Each
+    line either keeps that state, swaps it, or sets it whatever it was; so the
+    state before a line is the last one set plus the number of swaps since.
+    Splits are summed up the same way, one row each, to learn the state they
+    start in and the record that is open. Only lines of records that do span
+    lines are grouped.
     """
     text = F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), charset)
+    opened, kept = opens_quotes(F.col("value")).cast("int"), keeps_quotes(F.col("value")).cast("int")
     lines = spark.read.text(files).select(
         F.col("_metadata.file_path").alias(IMPORT_ID),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line"),
         text.alias("text"),
-        (_quotes(F.col("value")) % 2).alias("odd"),
+        opened.alias("opened"),
+        kept.alias("kept"),
+    )
+    lines = lines.withColumns(
+        {
+            "swap": ((F.col("opened") == 1) & (F.col("kept") == 0)).cast("int"),
+            "set": F.when(F.col("opened") == F.col("kept"), F.col("opened")),
+        }
     )
     split = Window.partitionBy(IMPORT_ID, "split")
     before = split.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     so_far = split.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = lines.withColumns(
-        {
-            "odd_before": F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2,
-            "first": F.min(F.when((F.col("split") == 0) & (F.col("text") != ""), F.col("line"))).over(split),
-        }
+    first = F.min(F.when((F.col("split") == 0) & (F.col("text") != ""), F.col("line"))).over(split)
+    swaps = F.coalesce(F.sum("swap").over(before), F.lit(0))
+    counted = (
+        lines.withColumns({"first": first, "swaps": swaps})
+        .withColumn("set", (F.col("set") + F.col("swaps")) % 2)
+        .withColumn("known", F.last("set", True).over(before))
     )
-    # The last line that opens a record, for either parity at the split's start.
+
+    def state(entered: Column) -> Column:
+        return (F.coalesce(F.col("known"), entered) + F.col("swaps")) % 2
+
+    # The last line that opens a record, for either state at the split's start.
     splits = counted.groupBy(IMPORT_ID, "split").agg(
-        F.sum("odd").alias("odd"),
-        *[F.max(F.when(F.col("odd_before") == parity, F.col("line"))).alias(f"last{parity}") for parity in (0, 1)],
+        F.sum("swap").alias("swap"),
+        F.max_by("set", F.when(F.col("set").isNotNull(), F.col("line"))).alias("set"),
+        *[F.max(F.when(state(F.lit(entered)) == 0, F.col("line"))).alias(f"last{entered}") for entered in (0, 1)],
     )
     earlier = Window.partitionBy(IMPORT_ID).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    entered = splits.withColumn("odd_in", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2).withColumn(
-        "last", F.when(F.col("odd_in") == 0, F.col("last0")).otherwise(F.col("last1"))
+    free_swaps = F.when(F.col("set").isNull(), F.col("swap")).otherwise(F.lit(0))
+    entered = (
+        splits.withColumn("swaps", F.coalesce(F.sum(free_swaps).over(earlier), F.lit(0)))
+        .withColumn("known", F.last((F.col("set") + F.col("swap") + F.col("swaps")) % 2, True).over(earlier))
+        .withColumn("entered", state(F.lit(0)))
+        .withColumn("last", F.when(F.col("entered") == 0, F.col("last0")).otherwise(F.col("last1")))
     )
-    carried = entered.select(IMPORT_ID, "split", "odd_in", F.last("last", True).over(earlier).alias("open_record"))
-    opens = (F.col("odd_before") + F.col("odd_in")) % 2 == 0
+    carried = entered.select(IMPORT_ID, "split", "entered", F.last("last", True).over(earlier).alias("open_record"))
     placed = (
         counted.join(carried, [IMPORT_ID, "split"])
-        .withColumn("opens", opens)
+        .withColumn("opens", state(F.col("entered")) == 0)
         .withColumn("record", F.last(F.when(F.col("opens"), F.col("line")), True).over(so_far))
         .withColumn("record", F.coalesce("record", "open_record"))
     )
-    whole = F.col("opens") & (F.col("odd") == 0)
+    whole = F.col("opens") & (F.col("opened") == 0)
     alone = placed.where(whole & ~F.col("record").eqNullSafe(F.col("first"))).select(IMPORT_ID, "record", "text")
     pieces = F.sort_array(F.collect_list(F.struct("split", "line", "text")))
     spanning = (

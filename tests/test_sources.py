@@ -111,6 +111,23 @@ def test_quoted_line_ends(spark, tmp_path):
     assert files.skipped.count() == 0
 
 
+def test_stray_quotes_are_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n12" pizza,1\nx,"2"\nit"s,"two\nlines"\n5" y,3\n"""q""","""\n"\nz,""\n')
+    (tmp_path / "b.csv").write_text('a,b\n7" only,8\n')
+    multiline = {row.file[-5:]: row.multiline for row in probe_files(spark, str(tmp_path)).collect()}
+    assert multiline == {"a.csv": True, "b.csv": False}
+    rows = read_bank_csv(spark, str(tmp_path)).rows.orderBy(IMPORT_ID, INGEST_ORDER).collect()
+    assert [row[:2] for row in rows] == [
+        ('12" pizza', "1"),
+        ("x", "2"),
+        ('it"s', "two\nlines"),
+        ('5" y', "3"),
+        ('"q"', '"\n'),
+        ("z", None),
+        ('7" only', "8"),
+    ]
+
+
 @pytest.mark.parametrize("split_bytes", [60, 333, 10**8])
 @pytest.mark.parametrize("charset, line_end", [("utf-8-sig", "\n"), ("cp1250", "\r\n")])
 def test_records_across_splits(spark, tmp_path, split_bytes, charset, line_end):
