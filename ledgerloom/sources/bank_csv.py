@@ -68,8 +68,10 @@ def _decodes(line: Column, charset: str) -> Column:
     if charset == "UTF-8":
         return F.is_valid_utf8(line)
     if charset in UNDEFINED_BYTES:
-        pairs = F.hex(line.cast("binary"))
-        return ~pairs.rlike(rf"^(?:[0-9A-F]{{2}})*?(?:{UNDEFINED_BYTES[charset]})")
+        # ASCII lines, as long in bytes as in valid characters, need no search.
+        ascii_only = F.is_valid_utf8(line) & (F.length(line) == F.octet_length(line))
+        undefined = rf"^(?:[0-9A-F]{{2}})*?(?:{UNDEFINED_BYTES[charset]})"
+        return ascii_only | ~F.hex(line.cast("binary")).rlike(undefined)
     return F.lit(True)
 
 
