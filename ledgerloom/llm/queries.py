@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import table
+from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.token_counts import count_tokens
+from ledgerloom.llm.toxicity import score_toxicity
 from ledgerloom.llm.url_filter import judge_urls
 
 URL_RULES = [
@@ -25,9 +27,19 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), rules)
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.7)
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.5)
+
+
 CORPUS_QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op7_url_filter": op7_url_filter,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 CORPUS_SQL = {
