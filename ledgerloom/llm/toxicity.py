@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import text_slices
 from ledgerloom.llm.labelled import labelled_sample, remainder
 
-PER_CLASS = 2500
-MAX_CHARS = 8_000
+PER_CLASS = 1500
+MAX_CHARS = 6_000
 WINDOW_WORDS = 8
 TABLE_BITS = 18
 DIMENSIONS = 8
 BATCHES = 8
-EPOCHS = 8
+EPOCHS = 12
 ROUNDS = 5
 RATE = 100.0
 COLUMN_NORM = 30.0
@@ -52,16 +52,8 @@ class Bags:
         sums = np.bincount(self.word, weights[self.gram], words)
         each = np.bincount(self.word, minlength=words)
         windows = len(self.window_text)
-        return np.bincount(self.word_window, sums / np.maximum(each, 1), windows) / self.sizes
-
-    @property
-    def sizes(self) -> np.ndarray:
-        return np.maximum(np.bincount(self.word_window, minlength=len(self.window_text)), 1)
-
-    def shares(self) -> np.ndarray:
-        """The weight that each n-gram has in its window's average."""
-        each = np.bincount(self.word, minlength=len(self.word_window))
-        return (1 / each / self.sizes[self.word_window])[self.word]
+        sizes = np.maximum(np.bincount(self.word_window, minlength=windows), 1)
+        return np.bincount(self.word_window, sums / np.maximum(each, 1), windows) / sizes
 
 
 def bags(texts: list[str]) -> Bags:
@@ -141,31 +133,44 @@ class Model:
         return _probability(self.scale * np.maximum.reduceat(self.windows(bag), starts) + self.shift)
 
 
-def _batches(bag: Bags, rows: np.ndarray, label: np.ndarray, draw: np.random.Generator) -> list[tuple[np.ndarray, ...]]:
-    """Random parts of the windows ``rows`` with their n-grams, shares, labels and class-balanced weights."""
-    wanted = label[rows]
-    balance = np.where(wanted == 1, 0.5 / max(1, wanted.sum()), 0.5 / max(1, (1 - wanted).sum())) * BATCHES
-    part = np.full(len(label), -1)
-    part[rows] = draw.integers(0, BATCHES, len(rows))
-    place = np.zeros(len(label), np.int64)
-    window, shares = bag.word_window[bag.word], bag.shares()
-    parts, batches = part[window], []
-    for number in range(BATCHES):
-        mine, grams = part[rows] == number, np.flatnonzero(parts == number)
-        place[rows[mine]] = np.arange(mine.sum())
-        batches.append((bag.gram[grams], place[window[grams]], shares[grams], wanted[mine], balance[mine]))
-    return batches
+class _Batch:
+    """Some labelled texts, with what each n-gram adds to the average of its window."""
+
+    def __init__(self, sample: list[tuple[str, int]]):
+        bag = bags([text for text, _ in sample])
+        each = np.bincount(bag.word, minlength=len(bag.word_window))
+        sizes = np.maximum(np.bincount(bag.word_window, minlength=len(bag.window_text)), 1)
+        self.gram = bag.gram
+        self.window = bag.word_window.astype(np.int32)[bag.word]
+        self.share = (1 / each / sizes[bag.word_window]).astype(np.float32)[bag.word]
+        self.label = np.array([label for _, label in sample], float)
+        self.text = bag.window_text
+        self.wanted = self.label[self.text]
+        self.learned = np.ones(len(self.text), bool)
+
+    def values(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.window, weights[self.gram] * self.share, len(self.text))
 
+    def worst(self, values: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(values, np.flatnonzero(np.diff(self.text, prepend=-1)))
 
-def _fit(batches: list[tuple[np.ndarray, ...]], vectors: np.ndarray, column: np.ndarray) -> float:
+    def narrow(self, values: np.ndarray) -> None:
+        """Of a toxic text learn only the windows that score about as high as its worst one."""
+        top = self.worst(values)[self.text]
+        self.learned = (self.wanted == 0) | (values >= np.maximum(top - 1, 0)) | (values == top)
+
+
+def _fit(batches: list[_Batch], vectors: np.ndarray, column: np.ndarray) -> float:
     """Descent with momentum on the vectors and the softmax column (both changed in place); returns the bias."""
     bias, pace, column_pace, bias_pace = 0.0, np.zeros_like(vectors), np.zeros_like(column), 0.0
+    toxic = sum(float((batch.wanted * batch.learned).sum()) for batch in batches)
+    clean = sum(float(((1 - batch.wanted) * batch.learned).sum()) for batch in batches)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for gram, place, share, wanted, weight in batches:
-            value = np.bincount(place, (vectors @ column)[gram] * share, len(wanted))
-            error = (_probability(value + bias) - wanted) * weight
-            each = np.bincount(gram, error[place] * share, len(vectors))
+        for batch in batches:
+            weight = np.where(batch.wanted == 1, 0.5 / max(1, toxic), 0.5 / max(1, clean)) * batch.learned * len(batches)
+            error = (_probability(batch.values(vectors @ column) + bias) - batch.wanted) * weight
+            each = np.bincount(batch.gram, error[batch.window] * batch.share, len(vectors))
             pace = 0.8 * pace - rate * np.outer(each, column)
             column_pace = 0.8 * column_pace - rate * 1e-3 * (vectors.T @ each)
             bias_pace = 0.8 * bias_pace - 0.1 * error.sum()
@@ -181,24 +186,22 @@ def train(sample: list[tuple[str, int]]) -> Model | None:
     A toxic text has few toxic windows. The first round takes all its windows as
     toxic, each later one only those that the round before scored highest.
     """
-    labels = np.array([label for _, label in sample], np.int64)
-    if len(set(labels.tolist())) < 2:
+    if len({label for _, label in sample}) < 2:
         return None
-    bag = bags([text for text, _ in sample])
-    label = labels[bag.window_text]
     draw = np.random.default_rng(7)
+    mixed = [sample[place] for place in draw.permutation(len(sample))]
+    batches = [_Batch(part) for number in range(BATCHES) if (part := mixed[number::BATCHES])]
     vectors = draw.uniform(-0.5, 0.5, (1 << TABLE_BITS, DIMENSIONS)) / (10 * DIMENSIONS)
     column = draw.normal(0, 1, DIMENSIONS)
     column *= COLUMN_NORM / np.linalg.norm(column)
-    rows = np.arange(len(label))
-    starts = np.flatnonzero(np.diff(bag.window_text, prepend=-1))
     for _ in range(ROUNDS):
-        bias = _fit(_batches(bag, rows, label, draw), vectors, column)
-        values = bag.means(vectors @ column) + bias
-        best = np.maximum.reduceat(values, starts)
-        top = best[bag.window_text]
-        rows = np.flatnonzero((label == 0) | (values >= np.maximum(top - 1, 0)) | (values == top))
+        bias = _fit(batches, vectors, column)
+        values = [batch.values(vectors @ column) + bias for batch in batches]
+        for batch, own in zip(batches, values):
+            batch.narrow(own)
     # Platt scaling of the worst window, both classes with the same weight.
+    labels = np.concatenate([batch.label for batch in batches])
+    best = np.concatenate([batch.worst(own) for batch, own in zip(batches, values)])
     centre, spread = best.mean(), best.std() + 1e-9
     value, scale, shift = (best - centre) / spread, 1.0, 0.0
     each = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
