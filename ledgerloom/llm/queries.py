@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import table
+from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.token_counts import count_tokens
+from ledgerloom.llm.token_files import token_digest
 from ledgerloom.llm.toxicity import score_toxicity
 from ledgerloom.llm.url_filter import judge_urls
 
@@ -22,11 +24,19 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), limit=4096)
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), longest=2048, end_id=1)
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, folder, "pages"), rules)
 
 
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digest(table(spark, folder, "documents"), end_id=2)
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.7)
 
@@ -37,7 +47,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 CORPUS_QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_packing": op4_packing,
     "op7_url_filter": op7_url_filter,
+    "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
