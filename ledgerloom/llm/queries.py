@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
 from ledgerloom.llm.decontaminate import contamination
+from ledgerloom.llm.neighbours import search
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.simhash import near_duplicates
@@ -38,6 +40,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle_words=3, max_bits=3)
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, count=10)
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, folder, "pages"), rules)
@@ -60,6 +66,7 @@ CORPUS_QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_neighbours": op6_neighbours,
     "op7_url_filter": op7_url_filter,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
