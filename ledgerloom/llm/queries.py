@@ -11,6 +11,7 @@ from ledgerloom.llm.neighbours import search
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.simhash import near_duplicates
+from ledgerloom.llm.suffix_dedup import remove_repeats
 from ledgerloom.llm.token_counts import count_tokens
 from ledgerloom.llm.token_files import token_digest
 from ledgerloom.llm.toxicity import score_toxicity
@@ -24,6 +25,10 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
 
@@ -62,6 +67,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CORPUS_QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
