@@ -16,7 +16,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import checkpointed, text_slices
@@ -253,3 +253,20 @@ def near_duplicates(
     return hashed.join(known, "fp").select(
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group of near duplicates, all columns: the one with the smallest id.
+
+    Rows with the same id are told apart by the hash of their text; of rows
+    alike in both one stays. Null ids count as larger than any.
+    """
+    parts = {"missing": F.col(id_column).isNull(), "id": F.col(id_column), "hash": F.xxhash64(text)}
+    key = F.struct(*[value.alias(name) for name, value in parts.items()])
+    judged = near_duplicates(documents.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **options)
+    kept = checkpointed(judged.where("key = component_id").select("key.*").distinct(), "kept-documents")
+    rows = documents.select(F.struct("*").alias("row"), *[value.alias(name) for name, value in parts.items()])
+    same = rows["id"].eqNullSafe(kept["id"]) & (rows["missing"] == kept["missing"]) & (rows["hash"] == kept["hash"])
+    alike = Window.partitionBy("missing", "id", "hash").orderBy("hash")
+    chosen = rows.join(kept, same, "left_semi").withColumn("number", F.row_number().over(alike)).where("number = 1")
+    return chosen.select("row.*")

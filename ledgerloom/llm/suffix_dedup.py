@@ -438,3 +438,18 @@ def remove_repeats(
     )
     return cut.withColumnRenamed("id", id_column)
 
+
+
+def without_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: str = "n_chars", **options) -> DataFrame:
+    """All rows and columns of ``documents`` with the repeated strings cut out of their texts.
+
+    A character that lost some of its bytes goes as a whole; ``length``, if
+    there is such a column, is counted anew; a null text becomes an empty one.
+    """
+    names = documents.columns
+    carried = [name for name in names if name != text]
+    cut = remove_repeats(documents, id_column, text, with_text=True, carried=carried, **options)
+    new = {text: F.col("kept_text")}
+    if length in names:
+        new[length] = F.length("kept_text").cast(documents.schema[length].dataType)
+    return cut.select(*[new.get(name, F.col("carried").getField(name)).alias(name) for name in names])

@@ -251,3 +251,28 @@ def score_toxicity(
     columns = documents.select(key, (remainder(key, 5) == 0).alias("held_out"), F.col(text).alias("text"))
     key_type = columns.schema[0].dataType.simpleString()
     return columns.mapInArrow(score, f"`{id_column}` {key_type}, held_out boolean, score double, predicted int")
+
+
+def without_toxic(
+    documents: DataFrame,
+    labels: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    per_class: int = PER_CLASS,
+    max_chars: int = MAX_CHARS,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """The rows of ``documents``, all columns, that score below ``threshold``; learns as ``score_toxicity`` does."""
+    model = train(labelled_sample(documents, labels, label, 5, 0, per_class, max_chars, id_column, text))
+    if model is None:
+        return documents
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, texts in text_slices(batch, text, SLICE):
+                clean = shared.value.scores(texts) < threshold
+                yield batch.slice(start, end - start).filter(pa.array(clean))
+
+    return documents.mapInArrow(keep, documents.schema)
