@@ -31,10 +31,19 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda word: F.xxhash64(word))
 
 
-def _windows(values: str, size: Column, window: int, build) -> Column:
-    """``build`` of each slice of ``window`` values, none for shorter arrays."""
-    starts = F.when(size >= window, F.sequence(F.lit(1), size - window + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda start: build(F.slice(values, start, window)))
+def _window_hashes(hashes: str, window: int) -> Column:
+    """The hash of each run of ``window`` word hashes, none for shorter arrays.
+
+    The column is named several times here, so the optimiser does not copy its
+    expression into the lambda, where it would run once per window.
+    """
+    size = F.size(hashes)
+    starts = F.when(size >= window, F.sequence(F.lit(0), size - window)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda start: _combined([F.get(hashes, start + shift) for shift in range(window)]))
+
+
+def _combined(word_hashes: list[Column]) -> Column:
+    return F.xxhash64(*word_hashes)
 
 
 def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
@@ -51,7 +60,9 @@ def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text: st
     return (
         grams.groupBy("gram", "n")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
-        .withColumn("hash", F.xxhash64(_word_hashes(F.col("gram"))))
+        .withColumn("word_hashes", _word_hashes(F.col("gram")))
+        .withColumn("hash", _combined([F.get("word_hashes", F.lit(shift)) for shift in range(window)]))
+        .drop("word_hashes")
     )
 
 
@@ -69,7 +80,9 @@ def _probe(rows: DataFrame, grams: DataFrame, sizes: list[int], first_part: bool
     )
     sought = grams.select("gram", "n", "items", "hash")
     sought = F.broadcast(sought.unionByName(itself) if first_part else sought)
-    probes = rows.select("row", "id", "words", F.posexplode("hashes").alias("place", "hash"))
+    # The outer form keeps the optimiser from testing for empty arrays first, by
+    # computing the hashes there as well; none is empty.
+    probes = rows.select("row", "id", "words", F.posexplode_outer("hashes").alias("place", "hash"))
     # Where the windows of a size begin in ``hashes``.
     count = F.size("words")
     before, begin = F.lit(1), F.lit(0)
@@ -123,7 +136,7 @@ def contamination(
             "hashes",
             F.concat(
                 F.array(F.lit(0).cast("long")),
-                *[_windows("word_hashes", F.size("words"), size, lambda part: F.xxhash64(part)) for size in sizes],
+                *[_window_hashes("word_hashes", size) for size in sizes],
             ),
         )
     )
