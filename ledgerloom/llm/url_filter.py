@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 # Rules travel to every task as filter bits; beyond this the rule list is not a broadcast.
 MAX_RULES = 20_000_000
 MAX_LEVELS = 200
-SEED = 7
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,21 +30,28 @@ class Level:
     bits: np.ndarray
     size: int
     hashes: int
+    depth: int
 
     @staticmethod
-    def of(pairs: np.ndarray, rate: float) -> Level:
-        """A filter of hash pairs that passes other pairs at about ``rate``."""
+    def of(pairs: np.ndarray, rate: float, depth: int = 1) -> Level:
+        """A filter of hash pairs that passes other pairs at about ``rate``.
+
+        Each depth has hash functions of its own, or what passes two levels
+        wrongly would pass all further ones.
+        """
         size = max(64, math.ceil(len(pairs) * -math.log(rate) / math.log(2) ** 2))
         hashes = max(1, round(-math.log2(rate)))
-        level = Level(np.zeros((size + 7) // 8, np.uint8), size, hashes)
+        level = Level(np.zeros((size + 7) // 8, np.uint8), size, hashes, depth)
         for places in level._places(pairs):
             np.bitwise_or.at(level.bits, places >> 3, np.uint8(1) << (places & 7).astype(np.uint8))
         return level
 
     def _places(self, pairs: np.ndarray) -> Iterator[np.ndarray]:
-        first, second = pairs[:, 0], pairs[:, 1] | np.uint64(1)
-        for turn in range(self.hashes):
-            mixed = first + np.uint64(turn) * second
+        turn = np.uint64((2 * self.depth + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        first, second = pairs[:, 0] * turn, (pairs[:, 1] ^ turn) | np.uint64(1)
+        first = first ^ (first >> np.uint64(31))
+        for number in range(self.hashes):
+            mixed = first + np.uint64(number) * second
             mixed ^= mixed >> np.uint64(32)
             yield (mixed % np.uint64(self.size)).astype(np.int64)
 
@@ -83,7 +89,7 @@ def cascade(listed: list[str], passing: list[str], first: Level) -> list[Level]:
     while len(wrong):
         if len(levels) >= MAX_LEVELS:
             raise ValueError("two keys share both hashes: the cascade cannot tell them apart")
-        levels.append(Level.of(wrong, 0.5))
+        levels.append(Level.of(wrong, 0.5, len(levels) + 1))
         wrong, right = right[levels[-1].passes(right)], wrong
     return levels
 
