@@ -17,6 +17,10 @@ WINDOW_WORDS = 10
 # Words and item ids that one broadcast may hold, some 40 bytes each.
 BROADCAST_ENTRIES = 5_000_000
 
+# A word with what follows it up to the next word, and what stands before the first.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OTHER = "".join(chr(code) for code in range(128) if not chr(code).isalnum())
 
@@ -113,10 +117,12 @@ def contamination(
     item_text: str = "text",
     window: int = WINDOW_WORDS,
     broadcast_entries: int = BROADCAST_ENTRIES,
+    with_hits: bool = False,
 ) -> DataFrame:
     """Per row ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``.
 
-    A word is hit if it lies in an occurrence of a benchmark window. ``items``
+    ``with_hits`` adds ``hits``: ``start`` (from 1) and ``n`` of the words of
+    each occurrence, and ``items``, the ids. A word is hit if it lies in an occurrence of a benchmark window. ``items``
     are the ids of items with such windows, as text; items with a null id mark
     words but are not named. A null or empty text has no words. Rows are kept
     one for one, ids may repeat or be null, other columns are not read. A
@@ -167,7 +173,48 @@ def contamination(
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        *(["hits", "items"] if with_hits else []),
+    )
+
+
+def _key(documents: DataFrame, id_column: str, text: str) -> Column:
+    return F.struct(documents[id_column].alias("id"), F.xxhash64(documents[text]).alias("text"))
+
+
+def without_windows(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    **options,
+) -> DataFrame:
+    """All rows and columns of ``documents``; words in an occurrence of a benchmark window are cut out.
+
+    A word goes with what stands between it and the next one. Other texts,
+    null ones too, stay as they are.
+    """
+    judged = contamination(
+        documents.select(_key(documents, id_column, text).alias("key"), text), benchmark, "key", text, with_hits=True, **options
     )
+    empty = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def merge(spans: Column, hit: Column) -> Column:
+        """Hits come by start: one that touches the last span lengthens it."""
+        last = F.try_element_at(spans, F.lit(-1))
+        new = lambda start: F.struct(start.cast("int").alias("start"), (hit["start"] + hit["n"]).cast("int").alias("stop"))
+        longer = F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(F.struct(last["start"], F.greatest(last["stop"], (hit["start"] + hit["n"]).cast("int")).alias("stop"))))
+        return F.when((F.size(spans) > 0) & (last["stop"] >= hit["start"]), longer).otherwise(F.concat(spans, F.array(new(hit["start"]))))
+
+    bad = judged.where("contaminated").select("key.id", F.col("key.text").alias("hash"), F.aggregate("hits", empty, merge).alias("spans"))
+    bad = checkpointed(bad.dropDuplicates(["id", "hash"]), "contaminated-spans").withColumnRenamed("id", "bad_id")
+    same = documents[id_column].eqNullSafe(bad["bad_id"]) & (F.xxhash64(documents[text]) == bad["hash"])
+    joined = documents.select(F.struct("*").alias("row"), F.col(id_column), F.col(text)).join(bad, same, "left")
+    body = F.col(f"row.{text}")
+    pieces = F.regexp_extract_all(body, F.lit(f"{_WORD}+{_GAP}*"), F.lit(0))
+    outside = lambda place: ~F.exists("spans", lambda span: (place + 1 >= span["start"]) & (place + 1 < span["stop"]))
+    left = F.concat(F.regexp_extract(body, f"^{_GAP}*", 0), F.array_join(F.filter(pieces, lambda piece, place: outside(place)), ""))
+    cut = F.when(F.col("spans").isNull(), body).otherwise(left)
+    return joined.select(*[cut.alias(text) if name == text else F.col("row").getField(name).alias(name) for name in documents.columns])
 
 
 def without_contaminated(
@@ -181,7 +228,7 @@ def without_contaminated(
 
     Rows are matched by id and text hash: rows alike in both share the verdict.
     """
-    key = F.struct(F.col(id_column).alias("id"), F.xxhash64(text).alias("text"))
+    key = _key(documents, id_column, text)
     judged = contamination(documents.select(key.alias("key"), text), benchmark, "key", text, **options)
     # The verdicts are written first, so that the join is planned for their true size.
     bad = checkpointed(judged.where("contaminated").select("key.id", "key.text").distinct(), "contaminated")

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from ledgerloom.llm.decontaminate import contamination, without_contaminated
+from ledgerloom.llm.decontaminate import contamination, without_contaminated, without_windows
 from ledgerloom.llm.queries import CORPUS_QUERIES, CORPUS_SQL
 from tests.compare import differences, oracle
 from tests.llm import brute
@@ -60,3 +60,24 @@ def test_documents_go(spark):
     wanted = [row for row, judged in zip(rows, brute.contamination(rows, items)) if not judged[-1]]
     assert kept.columns == docs.columns
     assert sorted((tuple(row)[:2] for row in kept.collect()), key=repr) == sorted(wanted, key=repr)
+
+
+def test_words_go(spark):
+    items = [(1, "one two three four five six seven eight nine ten eleven"), (2, "Short item")]
+    body = "one TWO three, four five\nsix seven; eight nine ten"
+    rows = [
+        (1, f"(Before) {body}! after.", "a"),
+        (2, f"{body} eleven", "b"),
+        (3, "a short, item... and a short item", "c"),
+        (4, "nothing here", "d"),
+        (None, None, "e"),
+        (5, f"é {body} ß {body}", "f"),
+        (5, f"é {body} ß {body}", "g"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    found = without_windows(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert found.columns == docs.columns
+    wanted = {"a": "(Before) after.", "b": "", "c": "a and a ", "d": "nothing here", "e": None, "f": "é ß ", "g": "é ß "}
+    assert {row["spans"]: row["text"] for row in found.collect()} == wanted
+    again = contamination(found, spark.createDataFrame(items, "item_id long, text string"), with_hits=True)
+    assert all(row["hits"] == [] and row["items"] == [] for row in again.collect())
