@@ -29,6 +29,8 @@ BYTES = 8
 LIST_LIMIT = 4096
 # Up to so many members all links of a list are kept, beyond it a spanning forest of them.
 ALL_LINKS = 32
+# Fingerprints with more than one in so many rows are joined by broadcast.
+HOT_SHARE = 1000
 _SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -243,14 +245,24 @@ def near_duplicates(
     the component are null. Other columns are not read.
     """
     hashed = checkpointed(fingerprints(documents, id_column, text, shingle_words), "fingerprints")
-    distinct = checkpointed(hashed.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    counted = hashed.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    distinct = checkpointed(counted, "distinct-fingerprints")
     roots = components(fingerprint_links(distinct.select("fp"), max_bits, list_limit))
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("node", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
     of_linked = linked.select("node", "root").join(smallest, "root").select(F.col("node").alias("fp"), "component")
-    known = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    # One fingerprint may have a third of all rows: a plain join, which adaptive execution splits where it is skewed.
-    return hashed.join(known, "fp").select(
+    known = checkpointed(
+        distinct.join(of_linked, "fp", "left").select("fp", "copies", F.coalesce("component", "least").alias("component_id")),
+        "known-fingerprints",
+    )
+    # A fingerprint may have a third of all rows. Those with more than a
+    # thousandth are at most a thousand: their rows stay where they are.
+    total = known.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    common = F.broadcast(known.where(F.col("copies") > total // HOT_SHARE).drop("copies"))
+    others = known.where(F.col("copies") <= total // HOT_SHARE).drop("copies")
+    of_common = hashed.join(common, "fp")
+    of_others = hashed.join(common.select("fp"), "fp", "left_anti").join(others, "fp")
+    return of_common.unionByName(of_others).select(
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
