@@ -193,28 +193,37 @@ def without_windows(
     A word goes with what stands between it and the next one. Other texts,
     null ones too, stay as they are.
     """
-    judged = contamination(
-        documents.select(_key(documents, id_column, text).alias("key"), text), benchmark, "key", text, with_hits=True, **options
+    keyed = documents.select(_key(documents, id_column, text).alias("key"), text)
+    judged = contamination(keyed, benchmark, "key", text, with_hits=True, **options)
+    spans = F.aggregate("hits", F.array().cast("array<struct<start:int,stop:int>>"), _merged)
+    bad = judged.where("contaminated").select(
+        F.col("key.id").alias("bad_id"), F.col("key.text").alias("bad_text"), spans.alias("spans")
     )
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-
-    def merge(spans: Column, hit: Column) -> Column:
-        """Hits come by start: one that touches the last span lengthens it."""
-        last = F.try_element_at(spans, F.lit(-1))
-        new = lambda start: F.struct(start.cast("int").alias("start"), (hit["start"] + hit["n"]).cast("int").alias("stop"))
-        longer = F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(F.struct(last["start"], F.greatest(last["stop"], (hit["start"] + hit["n"]).cast("int")).alias("stop"))))
-        return F.when((F.size(spans) > 0) & (last["stop"] >= hit["start"]), longer).otherwise(F.concat(spans, F.array(new(hit["start"]))))
-
-    bad = judged.where("contaminated").select("key.id", F.col("key.text").alias("hash"), F.aggregate("hits", empty, merge).alias("spans"))
-    bad = checkpointed(bad.dropDuplicates(["id", "hash"]), "contaminated-spans").withColumnRenamed("id", "bad_id")
-    same = documents[id_column].eqNullSafe(bad["bad_id"]) & (F.xxhash64(documents[text]) == bad["hash"])
-    joined = documents.select(F.struct("*").alias("row"), F.col(id_column), F.col(text)).join(bad, same, "left")
-    body = F.col(f"row.{text}")
+    bad = checkpointed(bad.dropDuplicates(["bad_id", "bad_text"]), "contaminated-spans")
+    same = documents[id_column].eqNullSafe(bad["bad_id"]) & (F.xxhash64(documents[text]) == bad["bad_text"])
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_column), F.col(text)).join(bad, same, "left")
+    body = F.col("row").getField(text)
     pieces = F.regexp_extract_all(body, F.lit(f"{_WORD}+{_GAP}*"), F.lit(0))
-    outside = lambda place: ~F.exists("spans", lambda span: (place + 1 >= span["start"]) & (place + 1 < span["stop"]))
-    left = F.concat(F.regexp_extract(body, f"^{_GAP}*", 0), F.array_join(F.filter(pieces, lambda piece, place: outside(place)), ""))
-    cut = F.when(F.col("spans").isNull(), body).otherwise(left)
-    return joined.select(*[cut.alias(text) if name == text else F.col("row").getField(name).alias(name) for name in documents.columns])
+    kept = F.filter(pieces, lambda piece, place: ~F.exists("spans", lambda span: _within(place + 1, span)))
+    cut = F.concat(F.regexp_extract(body, f"^{_GAP}*", 0), F.array_join(kept, ""))
+    new = F.when(F.col("spans").isNull(), body).otherwise(cut)
+    names = documents.columns
+    return rows.select(*[(new if name == text else F.col("row").getField(name)).alias(name) for name in names])
+
+
+def _merged(spans: Column, hit: Column) -> Column:
+    """Hits come in order of their starts: one that touches the last span lengthens it."""
+    last = F.try_element_at(spans, F.lit(-1))
+    stop = (hit["start"] + hit["n"]).cast("int")
+    longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], stop).alias("stop"))
+    new = F.struct(hit["start"].cast("int").alias("start"), stop.alias("stop"))
+    before = F.slice(spans, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0)))
+    touches = (F.size(spans) > 0) & (last["stop"] >= hit["start"])
+    return F.when(touches, F.concat(before, F.array(longer))).otherwise(F.concat(spans, F.array(new)))
+
+
+def _within(place: Column, span: Column) -> Column:
+    return (place >= span["start"]) & (place < span["stop"])
 
 
 def without_contaminated(

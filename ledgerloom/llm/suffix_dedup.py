@@ -46,7 +46,7 @@ SEED = 6
 SIDE = LENGTH - TRIGGER
 WIDTH = TRIGGER + 2 * SIDE
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 _STRIDE = 1 << 18
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = [np.uint32(0x85EBCA77 ** (place + 1) % 2**32) for place in range(SEED)]
@@ -94,7 +94,9 @@ class Block:
         array = texts.combine_chunks().take(pa.array(order)) if table.num_rows else pa.array([], pa.large_binary())
         if isinstance(array, pa.ChunkedArray):
             array = array.combine_chunks()
-        offsets = np.frombuffer(array.buffers()[1], np.int64, len(array) + 1, array.offset * 8) if len(array) else np.zeros(1, np.int64)
+        offsets = np.zeros(1, np.int64)
+        if len(array):
+            offsets = np.frombuffer(array.buffers()[1], np.int64, len(array) + 1, array.offset * 8)
         size = int(offsets[-1] - offsets[0])
         # Room on both sides, so that surroundings never leave the buffer.
         self.text = np.zeros(size + WIDTH + LENGTH, np.uint8)
@@ -300,7 +302,9 @@ def owners(sides: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.nda
 def _mark(table: pa.Table) -> pa.Table:
     """Step 4 for a bucket: a bit per entry and depth, set if a smaller document owns the string."""
     unpacker = zstandard.ZstdDecompressor()
-    sides_of = [np.frombuffer(unpacker.decompress(data), np.uint8).reshape(-1, WIDTH + 2) for data in table.column("sides").to_pylist()]
+    sides_of = [
+        np.frombuffer(unpacker.decompress(data), np.uint8).reshape(-1, WIDTH + 2) for data in table.column("sides").to_pylist()
+    ]
     sides = np.concatenate(sides_of)
     first = np.concatenate([np.frombuffer(unpacker.decompress(data), "<i8") for data in table.column("first").to_pylist()])
     left, right = sides[:, WIDTH], sides[:, WIDTH + 1]
@@ -356,8 +360,6 @@ def _whole_characters(text: np.ndarray, kept: np.ndarray) -> bytes:
 
 def _cut(table: pa.Table, replies: pa.Table, buckets: int, with_text: bool) -> pa.Table:
     """Step 5: every document of a block, with what is left of it."""
-    if not table.num_rows:
-        return pa.table([pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.string())], ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
     block = Block(table)
     block.parse()
     shared_by = dict(zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist()))
