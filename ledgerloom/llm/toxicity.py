@@ -27,7 +27,7 @@ WINDOW_WORDS = 8
 TABLE_BITS = 18
 DIMENSIONS = 8
 BATCHES = 8
-EPOCHS = 12
+EPOCHS = 16
 ROUNDS = 5
 RATE = 100.0
 COLUMN_NORM = 30.0
@@ -171,7 +171,8 @@ def _fit(batches: list[_Batch], vectors: np.ndarray, column: np.ndarray) -> floa
             weight = np.where(batch.wanted == 1, 0.5 / max(1, toxic), 0.5 / max(1, clean)) * batch.learned * len(batches)
             error = (_probability(batch.values(vectors @ column) + bias) - batch.wanted) * weight
             each = np.bincount(batch.gram, error[batch.window] * batch.share, len(vectors))
-            pace = 0.8 * pace - rate * np.outer(each, column)
+            pace *= 0.8
+            pace -= np.outer(each, rate * column)
             column_pace = 0.8 * column_pace - rate * 1e-3 * (vectors.T @ each)
             bias_pace = 0.8 * bias_pace - 0.1 * error.sum()
             vectors += pace
@@ -191,7 +192,11 @@ def train(sample: list[tuple[str, int]]) -> Model | None:
     draw = np.random.default_rng(7)
     mixed = [sample[place] for place in draw.permutation(len(sample))]
     batches = [_Batch(part) for number in range(BATCHES) if (part := mixed[number::BATCHES])]
-    vectors = draw.uniform(-0.5, 0.5, (1 << TABLE_BITS, DIMENSIONS)) / (10 * DIMENSIONS)
+    # Only rows that occur in the sample learn; those of n-grams never seen stay neutral.
+    used = np.unique(np.concatenate([batch.gram for batch in batches]))
+    for batch in batches:
+        batch.gram = np.searchsorted(used, batch.gram).astype(np.int32)
+    vectors = draw.uniform(-0.5, 0.5, (len(used), DIMENSIONS)) / (10 * DIMENSIONS)
     column = draw.normal(0, 1, DIMENSIONS)
     column *= COLUMN_NORM / np.linalg.norm(column)
     for _ in range(ROUNDS):
@@ -208,7 +213,9 @@ def train(sample: list[tuple[str, int]]) -> Model | None:
     for _ in range(500):
         error = (_probability(scale * value + shift) - labels) * each
         scale, shift = max(0.05, scale - 2 * float(error @ value)), shift - 2 * float(error.sum())
-    return Model((vectors @ column).astype(np.float32), bias, scale / spread, shift - scale * centre / spread)
+    weights = np.zeros(1 << TABLE_BITS, np.float32)
+    weights[used] = vectors @ column
+    return Model(weights, bias, scale / spread, shift - scale * centre / spread)
 
 
 def score_toxicity(
