@@ -86,9 +86,12 @@ def _list_key(positions: tuple[int, ...], fp: Column) -> Column:
     )
 
 
-def _lists(rows: DataFrame, keys: Column) -> DataFrame:
-    """``positions``, ``bytes``, ``fp`` and the length of the list, for lists of at least two."""
-    listed = rows.select("fp", F.explode(keys).alias("key")).select("key.positions", "key.bytes", "fp")
+def _listed(rows: DataFrame, keys: Column) -> DataFrame:
+    return rows.select("fp", F.explode(keys).alias("key")).select("key.positions", "key.bytes", "fp")
+
+
+def _lists(listed: DataFrame) -> DataFrame:
+    """``positions``, ``bytes``, ``fp`` and the length of the list, for lists of at least two; rows must be distinct."""
     sizes = listed.groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return listed.join(sizes, ["positions", "bytes"])
 
@@ -164,6 +167,8 @@ def _links(lists: DataFrame, shared: int, max_bits: int) -> DataFrame:
                 held = None
             if len(own[0]):
                 yield _verified(own, shared, max_bits)
+        if held is not None:
+            raise RuntimeError(f"a list of {held[3][0]} fingerprints is not whole: {len(held[0])} came")
 
     return sorted_lists.select("positions", "bytes", "fp", "size").mapInArrow(verify, "a long, b long").distinct()
 
@@ -214,7 +219,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, list_limit:
     """
     shared = BYTES - max_bits
     sets = position_sets(width, shared)
-    lists = _lists(distinct, F.array(*[_list_key(positions, F.col("fp")) for positions in sets]))
+    lists = _lists(_listed(distinct, F.array(*[_list_key(positions, F.col("fp")) for positions in sets])))
     short = lists.where(F.col("size") <= list_limit)
     long = lists.where(F.col("size") > list_limit)
     more = min(2, shared - width)
@@ -224,8 +229,9 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, list_limit:
         keys = [_list_key(tuple(sorted((*positions, *extra))), F.col("fp")) for extra in combinations(rest, more)]
         mine = F.col("positions") == sum(1 << position for position in positions)
         finer.append(F.when(mine, F.array(*keys)))
-    fine = _lists(long.select("fp", F.coalesce(*finer).alias("keys")).distinct(), F.col("keys"))
-    return _links(short.unionByName(fine.distinct()), shared, max_bits)
+    # Five positions may hold several of the sets: a fingerprint comes to the same list from each long one.
+    fine = _lists(_listed(long, F.coalesce(*finer)).distinct())
+    return _links(short.unionByName(fine), shared, max_bits)
 
 
 def near_duplicates(

@@ -52,6 +52,36 @@ def test_links_connect_all_groups(spark, limit, width):
     assert pairs(found) == pairs(wanted)
 
 
+def test_split_lists_keep_all_links(spark):
+    # 256 centres over two bytes a position, each with fingerprints that differ from it in three different
+    # bytes: most sets of five positions hold several of the long base lists.
+    draw, values = random.Random(3), {}
+    for number in range(256):
+        centre = sum(0xF0 << 8 * place for place in range(8) if number >> place & 1)
+        values[centre] = number
+        for _ in range(14):
+            bits = [8 * place + draw.randrange(4) for place in draw.sample(range(8), 3)]
+            values[centre ^ sum(1 << bit for bit in bits)] = number
+    fps = np.array(sorted(values), np.uint64)
+    close = np.bitwise_count(fps[:, None] ^ fps) <= 3
+    wanted, before = np.arange(len(fps)), None
+    while not np.array_equal(wanted, before):
+        wanted, before = np.where(close, wanted, len(fps)).min(1), wanted
+    df = spark.createDataFrame([(value,) for value in fps.view(np.int64).tolist()], "fp long")
+    links = fingerprint_links(df, list_limit=40)
+    place = {value: at for at, value in enumerate(fps.view(np.int64).tolist())}
+    assert all(close[place[row["a"]], place[row["b"]]] for row in links.collect())
+    roots = {row["node"]: row["root"] for row in components(links).collect()}
+    pairs = lambda names: {frozenset(at for at, other in enumerate(names) if other == name) for name in set(names)}
+    assert len(fps) > 3000 and pairs([roots.get(value, value) for value in place]) == pairs(wanted.tolist())
+
+
+def test_a_list_that_is_not_whole_fails(spark):
+    rows = spark.createDataFrame([(7, 1, 1, 3), (7, 1, 3, 3)], "positions long, bytes long, fp long, size long")
+    with pytest.raises(Exception, match="not whole"):
+        simhash._links(rows, 5, 3).collect()
+
+
 def test_probes_find_what_tiles_find():
     draw = np.random.default_rng(2)
     values = np.unique(draw.integers(0, 1 << 14, 3000).astype(np.uint64) << np.uint64(40) | np.uint64(0x77))
