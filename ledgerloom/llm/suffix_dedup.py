@@ -23,6 +23,8 @@ The job never gathers the corpus in one place:
    common lengths; cut at depth d and 50 - 28 - d they give classes, and a pair
    of classes is a run of the corpus order that shares 50 bytes. Its owner is
    its smallest document.
+   A hot trigger would gather its surroundings in one bucket: a block sends its
+   distinct strings of 50 bytes instead, dealt to all buckets by their hash.
 5. A block marks the strings that a smaller document owns and cuts them out.
 """
 
@@ -47,6 +49,8 @@ SIDE = LENGTH - TRIGGER
 WIDTH = TRIGGER + 2 * SIDE
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+# Triggers with more occurrences are hot: their strings are dealt to the buckets one by one.
+ENTRY_LIMIT = 1 << 16
 _STRIDE = 1 << 18
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = [np.uint32(0x85EBCA77 ** (place + 1) % 2**32) for place in range(SEED)]
@@ -126,6 +130,7 @@ class Block:
         ordered = self.hash[by_hash]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else by_hash
         self.known = ordered[first]
+        self.times = np.diff(np.append(first, len(ordered)))
         self.which = np.empty(len(ordered), np.int64)
         self.which[by_hash] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ordered))))
         owner = self.ids[self.doc[by_hash]]
@@ -140,12 +145,13 @@ class Block:
         for start, stop in zip(cuts, np.append(cuts[1:], len(bucket))):
             yield int(bucket[start]), slice(int(start), int(stop))
 
-    def surround(self, shared: np.ndarray) -> None:
+    def surround(self, shared: np.ndarray, hot: np.ndarray) -> None:
         """Distinct surroundings of the shared triggers, in the order of the trigger's hash.
 
         ``rows`` are the occurrences, ``entry`` the surroundings of each,
         ``sides`` and ``first`` what an entry is made of: its bytes and lengths,
-        and the smallest document that has it.
+        and the smallest document that has it; ``hot`` are the entries of hot
+        triggers.
         """
         rows = np.flatnonzero(shared[self.which])
         strips = np.lib.stride_tricks.as_strided(self.text, (len(self.text) - WIDTH + 1, WIDTH), (1, 1))
@@ -174,6 +180,47 @@ class Block:
         self.sides = sides[firsts]
         self.first = self.ids[self.doc[rows[firsts]]]
         self.entry_trigger = self.which[rows[firsts]]
+        self.hot = hot[self.entry_trigger]
+
+    def split(self, count: int) -> None:
+        """The distinct strings of 50 bytes of the hot entries, in an order that follows from them alone.
+
+        ``strings`` and ``string_first`` are their bytes and smallest documents,
+        ``string_bucket`` where they go, ``at_depth`` per depth the entries that
+        have a string there and which. A string has its first trigger and depth
+        from its bytes, so no two depths or triggers share one.
+        """
+        hot, total = np.flatnonzero(self.hot), 0
+        left, right = self.sides[hot, WIDTH], self.sides[hot, WIDTH + 1].astype(np.int64)
+        self.at_depth, strings, least = [], [np.zeros((0, LENGTH), np.uint8)], [np.zeros(0, np.int64)]
+        for depth in range(SIDE + 1):
+            own = hot[(depth <= left) & (depth >= SIDE - right)]
+            if len(own):
+                texts = self.sides[own, SIDE - depth : SIDE - depth + LENGTH]
+                number, begins, order = _numbered(texts)
+                self.at_depth.append((depth, own, number + total))
+                strings.append(texts[order[begins]])
+                least.append(np.minimum.reduceat(self.first[own[order]], begins))
+                total += len(begins)
+        self.strings, self.string_first = np.concatenate(strings), np.concatenate(least)
+        padded = np.zeros((total, -(-LENGTH // 8) * 8), np.uint8)
+        padded[:, :LENGTH] = self.strings
+        words = padded.view(np.uint64)
+        signs = _mix((words[:, column] for column in range(words.shape[1])), LENGTH)
+        self.string_bucket = ((signs >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+
+    def strings_by_bucket(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Bucket numbers with the numbers of the strings that go there."""
+        order = np.argsort(self.string_bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.string_bucket[order], prepend=-1))
+        for start, stop in zip(cuts, np.append(cuts[1:], len(order))):
+            yield int(self.string_bucket[order[start]]), order[start:stop]
+
+    def mark_hot(self, marks: np.ndarray, owned: np.ndarray) -> None:
+        """Sets the marks of the hot entries; ``owned`` are the strings that a smaller document of any block has."""
+        for depth, own, number in self.at_depth:
+            gone = owned[number] | (self.string_first[number] < self.first[own])
+            marks[own] |= gone.astype(np.uint32) << np.uint32(depth)
 
     def covered(self, marks: np.ndarray) -> np.ndarray:
         """Bytes covered by strings that a smaller document owns; ``marks`` has a bit per entry and depth."""
@@ -201,17 +248,26 @@ def _list_triggers(table: pa.Table, buckets: int) -> pa.Table:
     block.parse()
     rest = (block.known & np.uint64(0xFFFFFFFF)).astype("<u4")
     number = table.column("block")[0].as_py()
+    packer = zstandard.ZstdCompressor(level=1)
     rows = [
-        (bucket, number, rest[part].tobytes(), np.packbits(block.several[part]).tobytes())
+        (
+            bucket,
+            number,
+            rest[part].tobytes(),
+            np.packbits(block.several[part]).tobytes(),
+            packer.compress(block.times[part].astype("<u4").tobytes()),
+        )
         for bucket, part in block.buckets(buckets)
     ]
-    columns = list(zip(*rows)) or [[], [], [], []]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(values, kind) for values, kind in zip(columns, kinds)], ["bucket", "block", "triggers", "several"])
+    columns = list(zip(*rows)) or [[], [], [], [], []]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["bucket", "block", "triggers", "several", "times"]
+    return pa.table([pa.array(values, kind) for values, kind in zip(columns, kinds)], names)
 
 
-def _shared_triggers(table: pa.Table) -> pa.Table:
-    """Step 2: for each block's list a bit per trigger, set if two documents have it."""
+def _shared_triggers(table: pa.Table, entry_limit: int) -> pa.Table:
+    """Step 2: for each block's list a bit per trigger, set if two documents have it, and the places of the hot ones."""
+    unpacker = zstandard.ZstdDecompressor()
     parts = [np.frombuffer(data, "<u4") for data in table.column("triggers").to_pylist()]
     sizes = [len(part) for part in parts]
     several = [_bits(data, size) for data, size in zip(table.column("several").to_pylist(), sizes)]
@@ -221,39 +277,60 @@ def _shared_triggers(table: pa.Table) -> pa.Table:
     begins = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(begins, len(ordered)))
     shared = (counts > 1) | np.logical_or.reduceat(marked[order], begins)
-    bits = np.empty(len(values), bool)
-    bits[order] = np.repeat(shared, counts)
-    replies = [np.packbits(part).tobytes() for part in np.split(bits, np.cumsum(sizes)[:-1])]
-    return pa.table([table.column("block"), table.column("bucket"), pa.array(replies, pa.binary())], ["block", "bucket", "shared"])
+    times = np.concatenate([np.frombuffer(unpacker.decompress(data), "<u4") for data in table.column("times").to_pylist()])
+    hot = shared & (np.add.reduceat(times[order].astype(np.int64), begins) > entry_limit)
+    bits, places = np.empty(len(values), bool), np.empty(len(values), bool)
+    bits[order], places[order] = np.repeat(shared, counts), np.repeat(hot, counts)
+    cuts = np.cumsum(sizes)[:-1]
+    replies = [
+        [np.packbits(part).tobytes() for part in np.split(bits, cuts)],
+        [np.flatnonzero(part).astype("<u4").tobytes() for part in np.split(places, cuts)],
+    ]
+    columns = [table.column("block"), table.column("bucket"), *[pa.array(values, pa.binary()) for values in replies]]
+    return pa.table(columns, ["block", "bucket", "shared", "hot"])
 
 
-def _known_shared(block: Block, replies: dict[int, bytes], buckets: int) -> np.ndarray:
-    shared = np.zeros(len(block.known), bool)
+def _by_bucket(replies: pa.Table, name: str) -> dict[int, bytes]:
+    return dict(zip(replies.column("bucket").to_pylist(), replies.column(name).to_pylist()))
+
+
+def _known_shared(block: Block, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a block's triggers are shared, and which of these are hot."""
+    shared_by, hot_by = _by_bucket(replies, "shared"), _by_bucket(replies, "hot")
+    shared, hot = np.zeros(len(block.known), bool), np.zeros(len(block.known), bool)
     for bucket, part in block.buckets(buckets):
-        if bucket in replies:
-            shared[part] = _bits(replies[bucket], part.stop - part.start)
-    return shared
+        if bucket in shared_by:
+            shared[part] = _bits(shared_by[bucket], part.stop - part.start)
+            hot[part.start + np.frombuffer(hot_by[bucket], "<u4").astype(np.int64)] = True
+    return shared, hot
 
 
 def _send_surroundings(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
-    """Step 3: per bucket the distinct surroundings of a block's shared triggers."""
+    """Step 3: per bucket the distinct surroundings of a block's shared triggers, and the distinct strings of the hot ones."""
     rows = []
     if table.num_rows:
         block = Block(table)
         block.parse()
-        shared_by = dict(zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist()))
-        block.surround(_known_shared(block, shared_by, buckets))
+        shared_by, hot_by = _by_bucket(replies, "shared"), _by_bucket(replies, "hot")
+        block.surround(*_known_shared(block, replies, buckets))
+        block.split(buckets)
         packer = zstandard.ZstdCompressor(level=1)
+        pack = lambda values: packer.compress(np.ascontiguousarray(values).tobytes())
         number = table.column("block")[0].as_py()
-        for bucket, part in block.buckets(buckets):
-            own = slice(*np.searchsorted(block.entry_trigger, [part.start, part.stop]).tolist())
-            if own.stop > own.start:
-                sides = packer.compress(np.ascontiguousarray(block.sides[own, : WIDTH + 2]).tobytes())
-                first = packer.compress(block.first[own].astype("<i8").tobytes())
-                rows.append((bucket, number, shared_by[bucket], sides, first))
-    columns = list(zip(*rows)) or [[], [], [], [], []]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["bucket", "block", "shared", "sides", "first"]
+        strings = dict(block.strings_by_bucket())
+        parts = dict(block.buckets(buckets))
+        for bucket in sorted({*parts, *strings}):
+            part = parts.get(bucket, slice(0, 0))
+            own = np.arange(*np.searchsorted(block.entry_trigger, [part.start, part.stop]).tolist())
+            single = strings.get(bucket, np.zeros(0, np.int64))
+            if len(own) or len(single):
+                whole = own[~block.hot[own]]
+                sides, first = pack(block.sides[whole, : WIDTH + 2]), pack(block.first[whole].astype("<i8"))
+                alone, alone_first = pack(block.strings[single]), pack(block.string_first[single].astype("<i8"))
+                rows.append((bucket, number, shared_by.get(bucket), hot_by.get(bucket), sides, first, alone, alone_first))
+    columns = list(zip(*rows)) or [[] for _ in range(8)]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+    names = ["bucket", "block", "shared", "hot", "sides", "first", "strings", "string_first"]
     return pa.table([pa.array(values, kind) for values, kind in zip(columns, kinds)], names)
 
 
@@ -272,6 +349,15 @@ def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
+def _numbered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the distinct byte strings in their order, and where each begins in the sorted order."""
+    order, common = _order(rows)
+    fresh = common < rows.shape[1]
+    number = np.empty(len(rows), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return number, np.flatnonzero(fresh), order
+
+
 def owners(sides: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Step 4: for each entry and depth the smallest document with the same 50 bytes.
 
@@ -300,13 +386,33 @@ def owners(sides: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.nda
 
 
 def _mark(table: pa.Table) -> pa.Table:
-    """Step 4 for a bucket: a bit per entry and depth, set if a smaller document owns the string."""
-    unpacker = zstandard.ZstdDecompressor()
-    sides_of = [
-        np.frombuffer(unpacker.decompress(data), np.uint8).reshape(-1, WIDTH + 2) for data in table.column("sides").to_pylist()
-    ]
-    sides = np.concatenate(sides_of)
-    first = np.concatenate([np.frombuffer(unpacker.decompress(data), "<i8") for data in table.column("first").to_pylist()])
+    """Step 4 for a bucket: a bit per entry and depth, and one per string of a hot trigger, set if a smaller document owns it."""
+    unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    read = lambda name, kind: [np.frombuffer(unpacker.decompress(data), kind) for data in table.column(name).to_pylist()]
+    sides, first = read("sides", np.uint8), read("first", "<i8")
+    marks = _entry_marks(np.concatenate(sides).reshape(-1, WIDTH + 2), np.concatenate(first))
+    marks_of = np.split(marks, np.cumsum([len(part) for part in first])[:-1])
+    strings, string_first = read("strings", np.uint8), read("string_first", "<i8")
+    owned = _string_marks(np.concatenate(strings).reshape(-1, LENGTH), np.concatenate(string_first))
+    owned_of = np.split(owned, np.cumsum([len(part) for part in string_first])[:-1])
+    columns = [table.column(name) for name in ("block", "bucket", "shared", "hot")]
+    columns.append(pa.array([packer.compress(part.astype("<u4").tobytes()) for part in marks_of], pa.binary()))
+    columns.append(pa.array([np.packbits(part).tobytes() for part in owned_of], pa.binary()))
+    return pa.table(columns, ["block", "bucket", "shared", "hot", "marks", "owned"])
+
+
+def _string_marks(strings: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each string whether a smaller document has the same one."""
+    if not len(strings):
+        return np.zeros(0, bool)
+    number, begins, order = _numbered(strings)
+    return np.minimum.reduceat(first[order], begins)[number] < first
+
+
+def _entry_marks(sides: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each entry a bit per depth, set if a smaller document has the same string."""
+    if not len(sides):
+        return np.zeros(0, np.uint32)
     left, right = sides[:, WIDTH], sides[:, WIDTH + 1]
     padded = np.zeros((len(sides), WIDTH + 8), np.uint8)
     padded[:, : WIDTH + 2] = sides
@@ -344,11 +450,7 @@ def _mark(table: pa.Table) -> pa.Table:
         for depth in range(SIDE + 1):
             bits |= (found[own, depth] < first[rows]).astype(np.uint32) << np.uint32(depth)
         marks[rows] = bits
-    packer = zstandard.ZstdCompressor(level=1)
-    cuts = np.cumsum([len(part) for part in sides_of])[:-1]
-    replies = [packer.compress(part.astype("<u4").tobytes()) for part in np.split(marks, cuts)]
-    columns = [table.column("block"), table.column("bucket"), table.column("shared"), pa.array(replies, pa.binary())]
-    return pa.table(columns, ["block", "bucket", "shared", "marks"])
+    return marks
 
 
 def _whole_characters(text: np.ndarray, kept: np.ndarray) -> bytes:
@@ -362,15 +464,20 @@ def _cut(table: pa.Table, replies: pa.Table, buckets: int, with_text: bool) -> p
     """Step 5: every document of a block, with what is left of it."""
     block = Block(table)
     block.parse()
-    shared_by = dict(zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist()))
-    marks_by = dict(zip(replies.column("bucket").to_pylist(), replies.column("marks").to_pylist()))
-    block.surround(_known_shared(block, shared_by, buckets))
+    marks_by, owned_by = _by_bucket(replies, "marks"), _by_bucket(replies, "owned")
+    block.surround(*_known_shared(block, replies, buckets))
+    block.split(buckets)
     marks = np.zeros(len(block.first), np.uint32)
     unpacker = zstandard.ZstdDecompressor()
     for bucket, part in block.buckets(buckets):
         own = slice(*np.searchsorted(block.entry_trigger, [part.start, part.stop]).tolist())
         if own.stop > own.start:
-            marks[own] = np.frombuffer(unpacker.decompress(marks_by[bucket]), "<u4")
+            whole = np.arange(own.start, own.stop)[~block.hot[own]]
+            marks[whole] = np.frombuffer(unpacker.decompress(marks_by[bucket]), "<u4")
+    owned = np.zeros(len(block.strings), bool)
+    for bucket, numbers in block.strings_by_bucket():
+        owned[numbers] = _bits(owned_by[bucket], len(numbers))
+    block.mark_hot(marks, owned)
     gone = block.covered(marks)
     total = np.concatenate(([0], np.cumsum(gone)))
     removed = total[block.ends] - total[block.begins]
@@ -405,6 +512,7 @@ def remove_repeats(
     carried: list[str] | None = None,
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
+    entry_limit: int = ENTRY_LIMIT,
 ) -> DataFrame:
     """Cut out every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
@@ -414,7 +522,8 @@ def remove_repeats(
     whole. Overlapping strings count and are judged on the input, not on what is
     left; matches never cross documents. A null text counts as empty. Ids are
     whole numbers; rows with the same id never remove from each other, a null id
-    counts as larger than any. Of other columns only those in ``carried`` are
+    counts as larger than any. The strings around a trigger with more than
+    ``entry_limit`` occurrences are compared in all buckets, not in one. Of other columns only those in ``carried`` are
     read, whatever their names, and handed on under a struct ``carried``.
     """
     chosen = [F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text")]
@@ -425,14 +534,18 @@ def remove_repeats(
     blocks, buckets = parts_for(size, block_bytes), parts_for(size, bucket_bytes)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     listed = dealt.groupBy("block").applyInArrow(
-        lambda table: _list_triggers(table, buckets), "bucket int, block int, triggers binary, several binary"
+        lambda table: _list_triggers(table, buckets), "bucket int, block int, triggers binary, several binary, times binary"
+    )
+    shared = listed.groupBy("bucket").applyInArrow(
+        lambda table: _shared_triggers(table, entry_limit), "block int, bucket int, shared binary, hot binary"
     )
-    shared = listed.groupBy("bucket").applyInArrow(_shared_triggers, "block int, bucket int, shared binary")
     sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
         lambda table, replies: _send_surroundings(table, replies, buckets),
-        "bucket int, block int, shared binary, sides binary, first binary",
+        "bucket int, block int, shared binary, hot binary, sides binary, first binary, strings binary, string_first binary",
+    )
+    marked = sent.groupBy("bucket").applyInArrow(
+        _mark, "block int, bucket int, shared binary, hot binary, marks binary, owned binary"
     )
-    marked = sent.groupBy("bucket").applyInArrow(_mark, "block int, bucket int, shared binary, marks binary")
     kind = f"carried {rows.schema['carried'].dataType.simpleString()}, " if carried else ""
     shape = f"id long, {kind}n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     cut = dealt.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(

@@ -3,8 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
+from ledgerloom.llm import suffix_dedup
 from ledgerloom.llm.suffix_dedup import LENGTH, _triggers, remove_repeats, without_repeats
 from tests.llm import brute
 
@@ -41,6 +44,33 @@ def test_equals_brute_force(spark, sizes):
     assert rows_of(remove_repeats(df, block_bytes=sizes[0], bucket_bytes=sizes[1])) == brute.repeats(rows)
 
 
+@pytest.mark.parametrize("limit", [0, 3, 40])
+def test_split_triggers_equal_brute_force(spark, limit):
+    rows = made(seed=6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(remove_repeats(df, block_bytes=300, bucket_bytes=500, entry_limit=limit)) == brute.repeats(rows)
+
+
+def test_hot_triggers_are_spread_over_buckets(spark):
+    # One passage, different text on both sides of it in each document: its triggers near the ends are hot.
+    draw = random.Random(8)
+    noise = lambda count: "".join(draw.choice("abcdefgh") for _ in range(count))
+    passage, buckets = noise(200), 8
+    rows = [(number, noise(60) + passage + noise(60)) for number in range(400)]
+    blocks = [pa.table({"id": [key for key, _ in rows[at::4]], "text": [text for _, text in rows[at::4]], "block": pa.array([at] * 100, pa.int32())}) for at in range(4)]
+    listed = pa.concat_tables([suffix_dedup._list_triggers(block, buckets) for block in blocks])
+    of = lambda table, name, value: table.filter(pa.compute.equal(table.column(name), value)).combine_chunks()
+    groups = lambda table: [own for bucket in range(buckets) if (own := of(table, "bucket", bucket)).num_rows]
+    shared = pa.concat_tables([suffix_dedup._shared_triggers(own, 50) for own in groups(listed)])
+    sent = pa.concat_tables([suffix_dedup._send_surroundings(block, of(shared, "block", at), buckets) for at, block in enumerate(blocks)])
+    size = lambda own, names: sum(len(suffix_dedup.zstandard.decompress(data)) for name in names for data in own.column(name).to_pylist())
+    assert max(size(own, ["sides"]) for own in groups(sent)) < 50 * 80
+    loads = [size(own, ["strings"]) for own in groups(sent)]
+    assert len(loads) == buckets and max(loads) < 2 * sum(loads) / buckets
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(remove_repeats(df, block_bytes=30_000, bucket_bytes=16_000, entry_limit=50)) == brute.repeats(rows)
+
+
 def test_every_49_bytes_hold_a_trigger():
     draw = np.random.default_rng(1)
     for text in (draw.integers(0, 256, 5000), draw.integers(0, 2, 5000), np.zeros(500), np.arange(3000) % 7):
