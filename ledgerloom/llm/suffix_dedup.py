@@ -1,28 +1,25 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by windows around triggers.
 
 A trigger is a 28-byte string whose rolling 6-byte hashes are smallest at its
 first or last place. Whether a string is a trigger depends on its bytes alone,
-and every 49 bytes hold one. Triggers cut a text into phrases that overlap in
-them, so a corpus suffix is the end of a phrase (up to its closing trigger)
-followed by a suffix of the parse. No phrase end is a prefix of another, so the
-order of two suffixes follows from the order of their phrase ends in the
-dictionary and, where these are equal, of what follows in the parse. To depth
-50, a suffix is decided by at most 22 bytes before its first trigger, the
-trigger, and at most 22 bytes behind it.
+and every 49 bytes hold one, as in prefix-free parsing. To depth 50, a suffix of
+the corpus is decided by at most 22 bytes before its first trigger, the trigger,
+and at most 22 bytes behind it. These windows take the place of the dictionary of
+phrases, the parse and their suffix arrays, none of which is built: there is no
+corpus order, and nothing is compared beyond 50 bytes.
 
 The job never gathers the corpus in one place:
 
 1. Documents are dealt to blocks. A block lists its distinct triggers by bucket
    (a range of the trigger's hash), 4 bytes each.
 2. A bucket tells the blocks which triggers occur in two documents or more.
-   Phrases without such a trigger hold no repeated string and leave the parse.
+   Texts around the others hold no repeated string of another document.
 3. A block sends the distinct surroundings of the others to their bucket, with
    the smallest document that has them.
-4. A bucket sorts the phrase ends (from the trigger backwards, the dictionary's
-   order) and what follows (the parse's order). Neighbours in both orders have
-   common lengths; cut at depth d and 50 - 28 - d they give classes, and a pair
-   of classes is a run of the corpus order that shares 50 bytes. Its owner is
-   its smallest document.
+4. A bucket sorts what comes before a trigger (from it backwards) and, apart
+   from that, the trigger with what follows. Neighbours in either order have
+   common lengths; cut at depth d and 50 - d they give classes, and the entries
+   in one pair of classes share 50 bytes. Their owner is the smallest document.
    A hot trigger would gather its surroundings in one bucket: a block sends its
    distinct strings of 50 bytes instead, dealt to all buckets by their hash.
 5. A block marks the strings that a smaller document owns and cuts them out.
@@ -362,20 +359,20 @@ def owners(sides: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.nda
     """Step 4: for each entry and depth the smallest document with the same 50 bytes.
 
     Depth ``d`` stands for the string that starts ``d`` bytes before the
-    trigger. Two entries have the same one if they agree on ``d`` bytes of the
-    dictionary's order and on the trigger and 22 - d bytes of the parse's.
+    trigger. Two entries have the same one if they agree on the ``d`` bytes
+    before the trigger, on the trigger and on the 22 - d bytes behind it.
     """
     count = len(sides)
-    dictionary, ends = _order(sides[:, :SIDE][:, ::-1])
-    parse, follows = _order(sides[:, SIDE:WIDTH])
+    backward, ends = _order(sides[:, :SIDE][:, ::-1])
+    forward, follows = _order(sides[:, SIDE:WIDTH])
     found = np.full((count, SIDE + 1), LAST)
     end_class, follow_class = np.empty(count, np.int64), np.empty(count, np.int64)
     for depth in range(SIDE + 1):
         rows = np.flatnonzero((depth <= left) & (depth >= SIDE - right.astype(np.int64)))
         if not len(rows):
             continue
-        end_class[dictionary] = np.cumsum(ends < depth)
-        follow_class[parse] = np.cumsum(follows < LENGTH - depth)
+        end_class[backward] = np.cumsum(ends < depth)
+        follow_class[forward] = np.cumsum(follows < LENGTH - depth)
         run = follow_class[rows] * (count + 1) + end_class[rows]
         order = np.argsort(run, kind="stable")
         ordered = run[order]
