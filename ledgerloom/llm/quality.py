@@ -1,10 +1,12 @@
 """Quality scores by compression.
 
 Two zstandard dictionaries are built, one from good and one from bad labelled
-text. A text that resembles good text packs smaller with the good dictionary;
-the difference of both sizes, normalised by the length, is turned into a
-probability by a logistic calibration on labelled texts that no dictionary was
-built from.
+text. A text that resembles good text packs smaller with the good dictionary.
+A logistic regression, fitted on labelled texts that no dictionary was built
+from, turns that into a probability. It reads the difference of both sizes
+normalised by the length, its share of their sum, both normalised sizes, the
+log of the length, and squares and products of these: the length and the plain
+compressibility of a text count by themselves too.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ from ledgerloom.llm.labelled import labelled_sample, remainder
 PER_CLASS = 3000
 MAX_CHARS = 20_000
 DICTIONARY_BYTES = 112_640
+# A dictionary learns from texts of a class until they have so many bytes.
 DICTIONARY_TEXT_BYTES = 4_000_000
 LEVEL = 3
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves where they are too few to train on."""
+def _dictionary(texts: list[bytes], text_bytes: int = DICTIONARY_TEXT_BYTES) -> bytes:
+    """A trained dictionary, or the last bytes of the texts themselves where they are too few to train on."""
     kept, size = [], 0
     for text in texts:
-        if text and size < DICTIONARY_TEXT_BYTES:
+        if text and size < text_bytes:
             kept.append(text)
             size += len(text)
     if size >= 10 * DICTIONARY_BYTES and len(kept) >= 100:
@@ -80,12 +83,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
 
 
-def train(sample: list[tuple[str, int]], prior: float) -> Model | None:
+def train(sample: list[tuple[str, int]], prior: float, dictionary_text_bytes: int = DICTIONARY_TEXT_BYTES) -> Model | None:
     """Dictionaries from one half of each class, calibration on the other; ``prior`` is the share of label 1."""
     texts = [[text.encode() for text, label in sample if label == value] for value in (0, 1)]
     if min(map(len, texts)) < 2:
         return None
-    bad, good = ([_dictionary(own[::2]), own[1::2]] for own in texts)
+    bad, good = ([_dictionary(own[::2], dictionary_text_bytes), own[1::2]] for own in texts)
     sizes = Sizes(good[0], bad[0])
     features = np.vstack([sizes.features(bad[1]), sizes.features(good[1])])
     wanted = np.repeat([0.0, 1.0], [len(bad[1]), len(good[1])])
@@ -113,11 +116,15 @@ def score_quality(
     per_class: int = PER_CLASS,
     max_chars: int = MAX_CHARS,
     threshold: float = 0.7,
+    dictionary_text_bytes: int = DICTIONARY_TEXT_BYTES,
 ) -> DataFrame:
     """``held_out``, ``score`` and ``predicted`` of every row, from its whole text.
 
     Learns from at most ``per_class`` labelled texts of each class and of at
     most ``max_chars`` characters, never from rows whose crc32(id) mod 4 is 2.
+    Every other text of a class goes to its dictionary, which reads them until
+    they have ``dictionary_text_bytes`` bytes; under 1,126,400 bytes or 100 texts
+    it is not trained but holds their last 112,640 bytes as they are.
     A null text counts as empty; all empty texts get the same score. With fewer
     than two labelled texts of either class every score is the share of label 1
     (1 without labels). Rows are kept one for one, ids may repeat or be null,
@@ -126,7 +133,8 @@ def score_quality(
     known = labels.where((remainder(F.col(id_column), 4) != 2) & F.col(label).isin(0, 1))
     prior = known.agg(F.avg(label).alias("share")).first()["share"]
     prior = 1.0 if prior is None else float(prior)
-    model = train(labelled_sample(documents, labels, label, 4, 2, per_class, max_chars, id_column, text), prior)
+    sample = labelled_sample(documents, labels, label, 4, 2, per_class, max_chars, id_column, text)
+    model = train(sample, prior, dictionary_text_bytes)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

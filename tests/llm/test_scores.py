@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import quality
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.toxicity import bags, score_toxicity, train, without_toxic
 from tests.llm import brute
@@ -54,6 +55,14 @@ def test_odd_rows(spark, score, label, modulus, held_out, least):
     assert len(none) == 307 and len({row["score"] for row in none}) == 1
 
 
+def test_dictionary_reads_as_many_bytes_as_asked():
+    texts = [f"text {number} ".encode() * 10 for number in range(50)]
+    assert quality._dictionary(texts, 100) == texts[0] + texts[1]
+    assert quality._dictionary(texts, 10**6) == b"".join(texts)
+    sample = [(text.decode(), number % 2) for number, text in enumerate(texts)]
+    assert len(quality.train(sample, 0.5, 100).good) < len(quality.train(sample, 0.5).good)
+
+
 def test_bags():
     bag = bags(["a Bb bb. BB\ncc", "", " x\x00y ", "é"])
     # A word that repeats the one before it is left out; "bb" follows "a".
