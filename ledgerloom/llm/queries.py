@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
+from ledgerloom.llm.conversations import damaged, repair
 from ledgerloom.llm.decontaminate import contamination
 from ledgerloom.llm.neighbours import search
 from ledgerloom.llm.packing import pack_documents
@@ -66,6 +67,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.5)
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = damaged(table(spark, folder, "conversations"))
+    return repair(rows, "conv", copies="copies").withColumnRenamed("conv", "conv_id")
+
+
 CORPUS_QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -77,6 +83,7 @@ CORPUS_QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_conversations": op11_conversations,
 }
 
 CORPUS_SQL = {
