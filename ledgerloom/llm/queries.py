@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import table
 from ledgerloom.llm.conversations import damaged, repair
 from ledgerloom.llm.decontaminate import contamination
+from ledgerloom.llm.languages import identify
 from ledgerloom.llm.neighbours import search
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality import score_quality
@@ -17,6 +18,7 @@ from ledgerloom.llm.token_counts import count_tokens
 from ledgerloom.llm.token_files import token_digest
 from ledgerloom.llm.toxicity import score_toxicity
 from ledgerloom.llm.url_filter import judge_urls
+from ledgerloom.llm.whitening import whiten
 
 URL_RULES = [
     ("net", "/", "block"),
@@ -72,6 +74,14 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return repair(rows, "conv", copies="copies").withColumnRenamed("conv", "conv_id")
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"), components=32)
+
+
+def op13_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
+
+
 CORPUS_QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +94,8 @@ CORPUS_QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_conversations": op11_conversations,
+    "op12_whitening": op12_whitening,
+    "op13_languages": op13_languages,
 }
 
 CORPUS_SQL = {
