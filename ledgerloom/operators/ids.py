@@ -15,13 +15,16 @@ TXN_ID_LENGTH = 67
 
 REQUIRED = {"booking_date", "amount", "data"}
 
-# A key with more rows than this is spread over several window groups.
+# A day and amount with more rows than this is spread over several window groups.
 HOT_ROWS = 1_000_000
+# Days and amounts that a heavy-hitter sketch tracks, and tasks that merge sketches.
+SKETCH_ITEMS = 10_000
+SKETCH_MERGERS = 64
 # Consecutive ingest orders that share one slice of a hot key: at most
 # 2**SLICE_BITS rows, since ingest orders are distinct.
 SLICE_BITS = 20
 
-_KEY = ["_booked", "_valued", "_minor", "_currency", "_type", "_text"]
+KEY = ["_booked", "_valued", "_minor", "_currency", "_type", "_text"]
 
 
 def iso_date(value: Column) -> Column:
@@ -33,7 +36,7 @@ def _tag(value: Column) -> Column:
     return F.upper(strip(F.coalesce(value.cast("string"), F.lit(""))))
 
 
-def _digest(*parts: Column) -> Column:
+def digest(*parts: Column) -> Column:
     return F.concat(F.lit(f"{ALGORITHM_VERSION}:"), F.sha2(F.concat_ws("|", *parts), 256))
 
 
@@ -47,7 +50,7 @@ def txn_id(
     occurrence_index: Column,
 ) -> Column:
     """Id of one row from its ISO dates, minor units, raw texts and occurrence."""
-    return _digest(
+    return digest(
         F.coalesce(booking_date, F.lit("")),
         F.coalesce(value_date, F.lit("")),
         amount_minor.cast("string"),
@@ -58,14 +61,15 @@ def txn_id(
     )
 
 
-def _keyed(df: DataFrame) -> DataFrame:
+def keyed(df: DataFrame) -> DataFrame:
+    """The rows with the parts of their id, the import they count in and their order."""
     missing = REQUIRED - set(df.columns)
     if missing:
         raise ValueError(f"assign_txn_ids: missing required columns {sorted(missing)}")
     configure(df.sparkSession)
     has = set(df.columns)
     numeric = isinstance(df.schema["amount"].dataType, T.NumericType)
-    keyed = df.withColumn("_value", amount_value(F.col("amount"), numeric)).withColumns(
+    parts = df.withColumn("_value", amount_value(F.col("amount"), numeric)).withColumns(
         {
             "_booked": iso_date(F.col("booking_date")),
             "_valued": iso_date(F.col("value_date")) if "value_date" in has else F.lit(""),
@@ -78,37 +82,40 @@ def _keyed(df: DataFrame) -> DataFrame:
         }
     )
     # A high-entropy first key lets the window's sort compare 8 bytes, not texts.
-    return keyed.withColumns(
-        {"_hash": F.xxhash64("_group", *_KEY), "_crowd": F.xxhash64("_group", "_booked", "_minor")}
+    return parts.withColumns(
+        {"_hash": F.xxhash64("_group", *KEY), "_crowd": F.xxhash64("_group", "_booked", "_minor")}
     )
 
 
-def _hot_hashes(keyed: DataFrame, hot_rows: int) -> DataFrame:
-    """Hashes of the keys with more than ``hot_rows`` rows.
+def hot_crowds(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """Hashes ``_hot`` of the days and amounts with more than ``hot_rows`` rows.
 
-    Rows are counted by day and amount first, which reads neither texts nor
-    anything else; only rows of crowded days and amounts are counted by their
-    whole key. Both results hold at most rows / hot_rows hashes of 8 bytes, so
-    broadcasting them is safe at any scale: a trillion rows leave a million.
+    One narrow pass that reads neither texts nor anything else: every task keeps
+    a heavy-hitter sketch, sketches are merged in two levels, and a day and
+    amount that holds over a two-thousandth of all rows is never missed. At most
+    ``SKETCH_ITEMS`` hashes of 8 bytes come out, so broadcasting them is safe.
+    What the sketch says changes how rows are spread, never their numbers.
     """
-    many = F.col("count") > hot_rows
-    crowds = keyed.groupBy("_crowd").count().where(many).select("_crowd")
-    suspects = keyed.join(F.broadcast(crowds), "_crowd", "left_semi")
-    return suspects.groupBy("_hash").count().where(many).select(F.col("_hash").alias("_hot"))
+    task = F.pmod(F.spark_partition_id(), F.lit(SKETCH_MERGERS))
+    parts = rows.groupBy(task).agg(F.expr(f"approx_top_k_accumulate(_crowd, {SKETCH_ITEMS})").alias("sketch"))
+    merged = parts.agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"))
+    found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {SKETCH_ITEMS})")).alias("found"))
+    return found.where(F.col("found.count") > hot_rows).select(F.col("found.item").alias("_hot"))
 
 
 def occurrence_index(keyed: DataFrame, hot_rows: int = HOT_ROWS, slice_bits: int = SLICE_BITS) -> DataFrame:
     """Add ``occurrence``: the 0-based running count within equal keys of one import.
 
-    One key may hold a large share of all rows (a monthly fee), so its rows are
-    cut into slices of consecutive ingest orders. Each slice is counted on its
-    own, and the sizes of the earlier slices of the key are added. Other keys
-    have a single slice and need no correction.
+    One key may hold a large share of all rows (a monthly fee), so the rows of
+    crowded days and amounts are cut into slices of consecutive ingest orders.
+    Each slice of a key is counted on its own, and the sizes of the key's
+    earlier slices are added. Other keys have a single slice and need no
+    correction.
     """
-    group = ["_hash", "_group", *_KEY]
-    hot = F.broadcast(_hot_hashes(keyed, hot_rows))
+    group = ["_hash", "_group", *KEY]
+    hot = F.broadcast(hot_crowds(keyed, hot_rows))
     is_hot = F.col("_hot").isNotNull()
-    sliced = keyed.join(hot, F.col("_hash") == F.col("_hot"), "left").withColumn(
+    sliced = keyed.join(hot, F.col("_crowd") == F.col("_hot"), "left").withColumn(
         "_slice", F.when(is_hot, F.shiftright("_order", slice_bits)).otherwise(F.lit(-1).cast("bigint"))
     )
     within = Window.partitionBy(*group, "_slice").orderBy("_order")
@@ -126,7 +133,7 @@ def occurrence_index(keyed: DataFrame, hot_rows: int = HOT_ROWS, slice_bits: int
 
 def with_occurrence(df: DataFrame, hot_rows: int = HOT_ROWS, slice_bits: int = SLICE_BITS) -> DataFrame:
     """The input rows with their ``occurrence`` and nothing else added."""
-    return occurrence_index(_keyed(df), hot_rows, slice_bits).select(*df.columns, "occurrence")
+    return occurrence_index(keyed(df), hot_rows, slice_bits).select(*df.columns, "occurrence")
 
 
 def assign_txn_ids(
@@ -143,9 +150,9 @@ def assign_txn_ids(
     the rows must then come straight from files or a checkpoint. ``collisions`` receives ``repeated_rows``, the number of
     rows that needed an occurrence above zero, in the same pass.
     """
-    counted = occurrence_index(_keyed(df), hot_rows, slice_bits)
-    parts = [F.col(name).cast("string") for name in [*_KEY, "occurrence"]]
-    identified = counted.select(_digest(*parts).alias("txn_id"), *df.columns, "occurrence")
+    counted = occurrence_index(keyed(df), hot_rows, slice_bits)
+    parts = [F.col(name).cast("string") for name in [*KEY, "occurrence"]]
+    identified = counted.select(digest(*parts).alias("txn_id"), *df.columns, "occurrence")
     if collisions is not None:
         identified = identified.observe(
             collisions, F.coalesce(F.sum(F.when(F.col("occurrence") > 0, 1)), F.lit(0)).alias("repeated_rows")

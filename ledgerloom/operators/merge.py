@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.normalise import bookkeeping
@@ -28,3 +28,52 @@ def new_rows(imported: DataFrame, ledger: DataFrame) -> DataFrame:
 def merge_import(ledger: DataFrame, imported: DataFrame) -> DataFrame:
     """The ledger plus the new rows of an import."""
     return ledger.unionByName(new_rows(imported, ledger))
+
+
+def open_bucketed_ledger(spark: SparkSession, name: str, path: str, like: DataFrame, buckets: int) -> DataFrame:
+    """The ledger in ``path`` as table ``name``, laid out in buckets of ``txn_id``.
+
+    Creates the table in the session's catalogue where it is missing, over
+    whatever files ``path`` holds, so a ledger outlives the catalogue. ``like``
+    gives the columns. ``buckets`` belongs to the files: it must be the same
+    each time, and large enough that one bucket fits a task's memory.
+    """
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in like.schema)
+    place = path.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{place}' "
+        f"CLUSTERED BY (txn_id) SORTED BY (txn_id) INTO {buckets} BUCKETS"
+    )
+    return spark.table(name)
+
+
+def _placed(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows in the partitions that a table of so many buckets has."""
+    return rows.repartition(buckets, "txn_id")
+
+
+def bucketed_new_rows(imported: DataFrame, ledger: DataFrame, buckets: int) -> DataFrame:
+    """Rows of an import whose id a bucketed ledger lacks.
+
+    Only the import is shuffled, straight into the ledger's buckets; each bucket
+    of the ledger is read by the task that needs it. Copies of an id number at
+    most one per import, so no id is hot.
+    """
+    return new_rows(_placed(imported, buckets), ledger)
+
+
+def append_bucketed(rows: DataFrame, name: str, buckets: int) -> None:
+    """Add rows to a bucketed ledger, one file a bucket.
+
+    Appending the new rows of an import twice adds nothing the second time, as
+    ``bucketed_new_rows`` finds them in the ledger then.
+    """
+    writer = _placed(rows, buckets).write.mode("append").format("parquet")
+    writer.bucketBy(buckets, "txn_id").sortBy("txn_id").saveAsTable(name)
+
+
+def merge_bucketed(imported: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Fold an import into the bucketed ledger in ``path`` and return the whole ledger."""
+    ledger = open_bucketed_ledger(imported.sparkSession, name, path, imported, buckets)
+    append_bucketed(bucketed_new_rows(imported, ledger, buckets), name, buckets)
+    return imported.sparkSession.table(name)

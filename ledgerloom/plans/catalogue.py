@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.keywords import constant
 from ledgerloom.functions.location import map_link, restore_diacritics, split_parts
@@ -19,7 +20,7 @@ from ledgerloom.functions.text import (
 from ledgerloom.operators import classify, review
 from ledgerloom.operators.ids import assign_txn_ids, with_occurrence
 from ledgerloom.operators.location import with_location
-from ledgerloom.operators.merge import merge_import
+from ledgerloom.operators.merge import merge_bucketed, merge_import
 from ledgerloom.operators.metrics import preview
 from ledgerloom.operators.normalise import IMPORT_ID, INGEST_ORDER, RAW_COLUMNS, normalise
 from ledgerloom.operators.tracks import (
@@ -38,6 +39,13 @@ from ledgerloom.sinks.tables import write_cleaned, write_ledger
 from ledgerloom.sources.bank_csv import read_bank_csv
 from ledgerloom.sources.processed import read_processed
 from ledgerloom.streaming.drop_folder import import_frames
+from ledgerloom.streaming.late_copies import without_late_copies
+from ledgerloom.streaming.running_ids import collisions_of, stream_occurrence, stream_txn_ids
+
+# Buckets of the small ledgers and streams of these queries.
+LEDGER_BUCKETS = 16
+STREAM_BUCKETS = 32
+STREAM_PARTITIONS = 4
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -263,6 +271,93 @@ def stream_reimport(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.select("txn_id", "track", "amount", "category", "data")
 
 
+@query
+def bucketed_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Both imports folded into a ledger that is laid out in buckets of the id."""
+    target = scratch_folder(spark, "bucketed")
+    name = "ledger_" + target.rsplit("-", 1)[1]
+    for raw in _imports(spark, folder):
+        ledger = merge_bucketed(assign_txn_ids(normalise(raw)), name, target, LEDGER_BUCKETS)
+    spark.sql(f"DROP TABLE {name}")
+    stored = spark.read.schema(ledger.schema).parquet(target)
+    return stored.select("txn_id", F.col(IMPORT_ID).alias("import_id"), "data")
+
+
+def _in_drops(
+    rows: DataFrame, number: Column, drops: int, build: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, list[StreamingQuery]]:
+    """Rows written in drops and streamed, one micro-batch and one start of the stream for each drop.
+
+    The streams run in a session of their own with few state partitions, as
+    every micro-batch opens and commits each of them.
+    """
+    spark = rows.sparkSession
+    session = configure(spark.newSession())
+    session.conf.set("spark.sql.shuffle.partitions", str(STREAM_PARTITIONS))
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    source, target = scratch_folder(spark, "drops"), scratch_folder(spark, "streamed")
+    rows.withColumn("drop", number).write.partitionBy("drop").parquet(f"{source}/all")
+    done = []
+    for drop in range(drops):
+        part = spark.read.parquet(f"{source}/all").where(F.col("drop") == drop).drop("drop")
+        part.write.mode("append").parquet(f"{source}/folder")
+        frames = session.readStream.schema(rows.schema).parquet(f"{source}/folder")
+        writer = build(frames).writeStream.option("checkpointLocation", f"{target}/checkpoint")
+        stream = writer.trigger(availableNow=True).start(f"{target}/rows")
+        stream.awaitTermination()
+        done.append(stream)
+    return spark.read.parquet(f"{target}/rows"), done
+
+
+def _event_thirds(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
+    """Normalised events and which third of the event numbers each is in."""
+    rows = _events(spark, folder)
+    numbers = rows.agg((F.max(INGEST_ORDER) + 1).alias("n")).first()["n"] or 1
+    return rows, F.least(F.floor(F.col(INGEST_ORDER) * 3 / F.lit(numbers)), F.lit(2)).cast("int")
+
+
+@query
+def stream_running_occurrence(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in three micro-batches, the stream stopped and started again in between."""
+    rows, third = _event_thirds(spark, folder)
+    counted, _ = _in_drops(rows, third, 3, lambda frames: stream_occurrence(frames, STREAM_BUCKETS))
+    return _event_id(counted).select("event_id", "occurrence")
+
+
+@query
+def stream_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated rows that the micro-batches of a stream report while they assign ids."""
+    rows, third = _event_thirds(spark, folder)
+    identified, streams = _in_drops(rows, third, 3, lambda frames: stream_txn_ids(frames, STREAM_BUCKETS))
+    repeated, counted = (sum(column) for column in zip(*map(collisions_of, streams)))
+    ids = identified.agg(F.count_distinct("txn_id").alias("distinct_ids"))
+    return ids.select(F.lit(repeated).alias("repeated_rows"), F.lit(counted).alias("rows"), "distinct_ids")
+
+
+@query
+def stream_late_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Identified events of which many arrive again: soon, days later, or after a month.
+
+    Copies within the delay of four days go; those after 35 days pass, since
+    the state has let go of their ids by then.
+    """
+    stamped = _events(spark, folder).join(
+        read_table(spark, folder, "events").select(F.col("event_id").alias(INGEST_ORDER), "ts"), INGEST_ORDER
+    )
+    rows = assign_txn_ids(stamped)
+    number = F.col(INGEST_ORDER)
+    days = F.when(number % 2 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    days = F.when(number % 3 == 0, F.array_append(days, F.lit(0))).otherwise(days)
+    days = F.when(number % 7 == 0, F.array_append(days, F.lit(35))).otherwise(days)
+    sent = rows.select("txn_id", "data", "ts", F.explode(days).alias("later")).select(
+        "txn_id", "data", (F.col("ts") + F.make_dt_interval(F.col("later"))).alias("arrived")
+    )
+    first = sent.agg(F.min("arrived").alias("first")).first()["first"]
+    drop = F.floor(F.date_diff("arrived", F.lit(first)) / 12).cast("int")
+    kept, _ = _in_drops(sent, F.least(drop, F.lit(5)), 6, lambda frames: without_late_copies(frames, "arrived", "4 days"))
+    return kept.select("txn_id", "data")
+
+
 @query
 def split_segments(spark: SparkSession, folder: str) -> DataFrame:
     rows = _event_id(_events(spark, folder))

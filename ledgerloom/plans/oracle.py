@@ -349,6 +349,14 @@ SQL: dict[str, str] = {
     + "SELECT txn_id, CASE import_no WHEN 1 THEN 'first' ELSE 'second' END AS import_id, data FROM merged",
     "stream_reimport": ctes(*IMPORTS, MERGED, CLEANED.replace("FROM ids)", "FROM merged)"), LABELLED, KEPT)
     + f"SELECT * EXCLUDE (day, month, year) FROM (SELECT txn_id, {BOTH_TRACKS} FROM prepared)",
+    "bucketed_merge": ctes(*IMPORTS, MERGED)
+    + "SELECT txn_id, CASE import_no WHEN 1 THEN 'first' ELSE 'second' END AS import_id, data FROM merged",
+    "stream_running_occurrence": ctes(*IDENTIFIED) + "SELECT event_id, occurrence FROM ids",
+    "stream_collisions": ctes(*IDENTIFIED)
+    + """SELECT count(*) FILTER (occurrence > 0) AS repeated_rows, count(*) AS rows,
+       count(DISTINCT txn_id) AS distinct_ids FROM ids""",
+    "stream_late_copies": ctes(*IDENTIFIED)
+    + "SELECT txn_id, data FROM ids UNION ALL SELECT txn_id, data FROM ids WHERE event_id % 7 = 0",
     "split_segments": ctes(*EVENTS, *_locations("norm", "event_id", "data")[:1])
     + "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY pos) - 1 AS INTEGER) AS pos, part FROM parts",
     "extract_location": ctes(*EVENTS, *_locations("norm", "event_id", "data"))

@@ -145,10 +145,12 @@ def test_sliced_counting_equals_running_count(spark, hot_rows, slice_bits):
 
 def test_slices_bound_the_window_groups(spark):
     rows, schema = ordered(spark, 2000, 0.6)
-    keyed = ids._keyed(frame(spark, rows, schema))
-    hot = ids._hot_hashes(keyed, 100).collect()
-    fee = keyed.where("data = 'fee'").select("_hash").distinct().collect()
-    assert {row._hot for row in hot} == {row._hash for row in fee}
+    keyed = ids.keyed(frame(spark, rows, schema))
+    hot = ids.hot_crowds(keyed, 100).collect()
+    fee = keyed.where("data = 'fee'").select("_crowd").distinct().collect()
+    assert {row._hot for row in hot} >= {row._crowd for row in fee}
+    crowds = {row._crowd: row["count"] for row in keyed.groupBy("_crowd").count().collect()}
+    assert {row._hot for row in hot} == {crowd for crowd, count in crowds.items() if count > 100}
 
 
 def test_overlapping_imports_share_ids(spark):

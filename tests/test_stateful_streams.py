@@ -1,0 +1,120 @@
+"""Counts and ids that continue over micro-batches, and copies that arrive again."""
+
+from __future__ import annotations
+
+import datetime
+
+import pytest
+
+from ledgerloom.operators import ids
+from ledgerloom.operators.merge import append_bucketed, bucketed_new_rows, merge_bucketed, merge_import, open_bucketed_ledger
+from ledgerloom.operators.normalise import IMPORT_ID, INGEST_ORDER
+from ledgerloom.streaming.late_copies import without_late_copies
+from ledgerloom.streaming.running_ids import collisions_of, stream_occurrence, stream_txn_ids
+from tests.test_plans import nodes, plan
+
+ROWS = f"booking_date string, amount string, data string, {IMPORT_ID} string, {INGEST_ORDER} long"
+
+
+def row(order, data="fee", source="a"):
+    return ("2025-01-01", "-5", data, source, order)
+
+
+def feed(spark, tmp_path, schema, batches, build, name="rows"):
+    """One start of the stream for each batch; returns the rows written and the queries."""
+    done = []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(2).write.mode("append").parquet(str(tmp_path / f"{name}-in"))
+        frames = spark.readStream.schema(schema).parquet(str(tmp_path / f"{name}-in"))
+        writer = build(frames).writeStream.option("checkpointLocation", str(tmp_path / f"{name}-checkpoint"))
+        query = writer.trigger(availableNow=True).start(str(tmp_path / f"{name}-out"))
+        query.awaitTermination()
+        done.append(query)
+    return spark.read.parquet(str(tmp_path / f"{name}-out")), done
+
+
+def test_counts_continue_after_restarts(spark, tmp_path):
+    batches = [
+        [row(3), row(1), row(2, "coffee"), row(4, source="b")],
+        [row(10, "coffee"), row(11, "tea")],
+        [row(number) for number in range(40, 20, -1)] + [row(50, "tea"), row(51, source="b"), row(52, source=None)],
+    ]
+    counted, _ = feed(spark, tmp_path, ROWS, batches, lambda frames: stream_occurrence(frames, buckets=4))
+    rows = [each for batch in batches for each in batch]
+    wanted = ids.with_occurrence(spark.createDataFrame(rows, ROWS))
+    assert counted.columns == wanted.columns
+    as_set = lambda df: sorted(map(str, df.collect()))
+    assert as_set(counted) == as_set(wanted)
+
+
+def test_streamed_ids_equal_batch_ids(spark, tmp_path):
+    batches = [[row(1), row(2), row(3, "tea")], [row(4), row(5, " TEA ")]]
+    identified, queries = feed(spark, tmp_path, ROWS, batches, lambda frames: stream_txn_ids(frames, buckets=4))
+    wanted = ids.assign_txn_ids(spark.createDataFrame([each for batch in batches for each in batch], ROWS))
+    assert identified.columns == wanted.columns
+    assert sorted(map(str, identified.collect())) == sorted(map(str, wanted.collect()))
+    assert [collisions_of(query) for query in queries] == [(1, 3), (2, 2)]
+
+
+def test_streams_need_an_order(spark, tmp_path):
+    spark.createDataFrame([row(1)], ROWS).drop(INGEST_ORDER).write.parquet(str(tmp_path / "s"))
+    frames = spark.readStream.schema(spark.read.parquet(str(tmp_path / "s")).schema).parquet(str(tmp_path / "s"))
+    with pytest.raises(ValueError, match=INGEST_ORDER):
+        stream_occurrence(frames)
+
+
+def day(number):
+    return datetime.datetime(2025, 1, 1) + datetime.timedelta(days=number)
+
+
+def test_late_copies_go_and_state_stays_small(spark, tmp_path):
+    # Ten new ids a day; each is delivered again the next day, and the first ten once more after 30 days.
+    batches = [
+        [(f"id{number}", day(now)) for number in range(10 * now, 10 * now + 10)]
+        + [(f"id{number}", day(now)) for number in range(10 * now - 10, 10 * now) if now]
+        + [(f"id{number}", day(now)) for number in range(10) if now == 11]
+        for now in range(12)
+    ]
+    kept, queries = feed(
+        spark, tmp_path, "txn_id string, arrived timestamp", batches, lambda frames: without_late_copies(frames, "arrived", "2 days")
+    )
+    counts = {each["txn_id"]: each["count"] for each in kept.groupBy("txn_id").count().collect()}
+    assert counts == {f"id{number}": 2 if number < 10 else 1 for number in range(120)}
+    states = [query.lastProgress["stateOperators"][0]["numRowsTotal"] for query in queries]
+    assert max(states) <= 60 and states[-1] <= 60
+
+
+def test_bucketed_ledger_is_not_shuffled(spark, tmp_path):
+    first = spark.createDataFrame([(f"id{number}", "a", number) for number in range(200)], f"txn_id string, data string, {INGEST_ORDER} long")
+    second = spark.createDataFrame([(f"id{number}", "b", number) for number in range(150, 260)] * 2, first.schema)
+    place = str(tmp_path / "ledger")
+    assert merge_bucketed(first, "bucketed_test", place, 4).count() == 200
+    ledger = spark.table("bucketed_test")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(bucketed_new_rows(second, ledger, 4))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The only exchange is the import's own, into the ledger's buckets.
+    assert nodes(text, "Exchange") == 1 and "Bucketed: true" in text
+    before, scan = text.split("SortMergeJoin", 1)[1].split("Scan ExistingRDD", 1)
+    assert "Exchange hashpartitioning(txn_id" in before and "FileScan parquet" in scan and "Exchange" not in scan
+    wanted = sorted(map(str, merge_import(first, second).collect()))
+    assert sorted(map(str, merge_bucketed(second, "bucketed_test", place, 4).collect())) == wanted
+    # Again, and by a session that does not know the table: nothing is added.
+    spark.sql("DROP TABLE bucketed_test")
+    again = open_bucketed_ledger(spark, "bucketed_again", place, first, 4)
+    append_bucketed(bucketed_new_rows(second, again, 4), "bucketed_again", 4)
+    assert spark.table("bucketed_again").count() == 260
+    spark.sql("DROP TABLE bucketed_again")
+
+
+def test_one_narrow_pass_finds_crowds(spark, tmp_path):
+    spark.createDataFrame([row(1)], ROWS).write.parquet(str(tmp_path / "s"))
+    identified = ids.assign_txn_ids(spark.read.parquet(str(tmp_path / "s")))
+    scans = [part.split("\n")[0] for part in plan(identified).split("ReadSchema: ")[1:]]
+    # The sketch, which reads no text, takes the place of exact counts.
+    assert any("data" not in scan for scan in scans)
+    identified.collect()
+    final = plan(identified).split("== Initial Plan ==")[0]
+    assert final.count("approx_top_k_accumulate") <= 2 and "count(1)" not in final
