@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.keywords import contains_any
+from ledgerloom.functions.keywords import constant, contains_any
 from ledgerloom.functions.text import SPACE, WORD, collapse_spaces, quote_path, strip
 
 # Field names left over from bank metadata.
@@ -178,13 +178,30 @@ def clean_location_text(text: Column) -> Column:
     return normalise_separators(text)
 
 
+def _name_pattern() -> str:
+    """Any whole word of ``DIACRITICS``, the longest first."""
+    names = sorted(DIACRITICS, key=lambda name: -len(name))
+    edges = [rf"(?!{WORD})" if name[-1].isalnum() else rf"(?={WORD})" for name in names]
+    return rf"(?iu)(?<!{WORD})(?:{'|'.join(re.escape(name) + edge for name, edge in zip(names, edges))})"
+
+
 def restore_diacritics(text: Column) -> Column:
-    """Respell whole words of ``DIACRITICS``, longest first, in lower case."""
-    restored = text
-    for plain, proper in sorted(DIACRITICS.items(), key=lambda pair: -len(pair[0])):
-        edge = rf"(?!{WORD})" if plain[-1].isalnum() else rf"(?={WORD})"
-        restored = F.regexp_replace(restored, rf"(?iu)(?<!{WORD}){re.escape(plain)}{edge}", proper)
-    return F.coalesce(F.when(contains_any(F.lower(text), list(DIACRITICS)), restored).otherwise(text), F.lit(""))
+    """Respell whole words of ``DIACRITICS``, longest first, in lower case.
+
+    One pattern finds all names; each is looked up and put back between the
+    pieces around it.
+    """
+    pattern = _name_pattern()
+    spelling = constant(DIACRITICS, "map<string,string>")
+    # The same folding as the pattern's: capitals first, so that variants of a letter meet.
+    plain = lambda name: F.lower(F.upper(F.translate(name, "\u0130", "i")))
+    names = F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda name: F.coalesce(F.try_element_at(spelling, plain(name)), name),
+    )
+    pieces = F.zip_with(F.split(text, pattern, -1), names, lambda piece, name: F.concat(piece, F.coalesce(name, F.lit(""))))
+    respelled = F.array_join(pieces, "")
+    return F.coalesce(F.when(contains_any(F.lower(text), list(DIACRITICS)), respelled).otherwise(text), F.lit(""))
 
 
 def map_link(location: Column) -> Column:

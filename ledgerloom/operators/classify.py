@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.keywords import constant, match_label, match_priority
 from ledgerloom.functions.text import strip
+from ledgerloom.operators.rule_index import KEYWORDS_BROADCAST, counted_hits
 from ledgerloom.rules import DisplayRules, RuleSet, display_rules, expense_rules, income_rules
 
 # Literal replacements in order of application.
@@ -35,10 +35,6 @@ DESCRIPTION_REPLACEMENTS = {
     "maratonska 24": "Retkinia Mall - Maratońska 24",
 }
 
-# Rule rows per broadcast, some tens of megabytes; larger tables are broadcast in
-# several parts, one after the other.
-RULES_PER_BROADCAST = 200_000
-
 
 def cleaned(text: Column, replacements: Mapping[str, str] = DESCRIPTION_REPLACEMENTS) -> Column:
     """Apply literal, case-sensitive replacements one after the other."""
@@ -106,38 +102,17 @@ def rules_join(
 ) -> DataFrame:
     """Label texts with a rule table held in a DataFrame (``priority, label, keyword``).
 
-    For rule tables too large to compile into an expression. Each text yields
-    its distinct character runs as long as the shortest keyword, rules are
-    matched on the run they start with by an equi-join, and only real hits
-    reach the shuffle, pre-aggregated per ``key``. Texts are never shuffled:
-    rule tables beyond the broadcast limit are matched part by part. Returns
-    ``key`` and label.
+    For rule tables too large to compile into an expression. Keywords are found
+    in one pass over the texts (``operators.rule_index``); texts are shuffled
+    only where the rules are too many to broadcast. Returns ``key`` and label.
     """
-    size, count = rules.agg(F.min(F.length("keyword")), F.count(F.lit(1))).first()
-    if not count:
-        return df.select(key, F.lit(default).alias(label))
-    if not size:
-        raise ValueError("rules_join: empty keyword")
-    parts = math.ceil(count / RULES_PER_BROADCAST)
-    seeded = rules.select(
-        "priority",
-        F.col("label").alias("_label"),
-        "keyword",
-        F.substring("keyword", 1, size).alias("_seed"),
-        F.pmod(F.xxhash64("keyword"), F.lit(parts)).alias("_part"),
-    )
-    runs = F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
     texts = df.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    hits, count = counted_hits(texts, "_text", rules)
+    best = rules.groupBy("keyword").agg(F.min(F.struct("priority", F.col("label").alias("_label"))).alias("_best"))
+    best = F.broadcast(best) if count <= KEYWORDS_BROADCAST else best
     # Every key also gets the default at the lowest priority, so one aggregate
     # replaces an outer join for the texts without a hit.
     lowest = F.struct(F.lit(2**31 - 1).alias("priority"), F.lit(default).alias("_label"))
-    found = df.select(key, lowest.alias("_best"))
-    for part in range(parts):
-        hits = (
-            texts.withColumn("_seed", F.explode(runs))
-            .join(F.broadcast(seeded.where(F.col("_part") == part)), "_seed")
-            .where(F.contains("_text", "keyword"))
-        )
-        found = found.unionByName(hits.select(key, F.struct("priority", "_label").alias("_best")))
-    best = found.groupBy(key).agg(F.min("_best").alias("_best"))
-    return best.select(key, F.col("_best._label").alias(label))
+    found = df.select(key, lowest.alias("_best")).unionByName(hits.join(best, "keyword").select(key, "_best"))
+    first = found.groupBy(key).agg(F.min("_best").alias("_best"))
+    return first.select(key, F.col("_best._label").alias(label))

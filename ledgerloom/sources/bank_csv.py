@@ -108,24 +108,74 @@ def _as_path(uri: Column) -> Column:
     return F.regexp_replace(decoded, r"([\[\]{}*?\\])", r"\\$1")
 
 
+# Bits of a header's hash that share a number with the position of its line.
+_HASH_BITS = 30
+
+
+def _raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file``, ``value`` and, for lines that may be a file's header, their ``place`` in the task."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    starts = (F.col("_metadata.file_block_start") == 0) & (F.trim("value") != "")
+    return spark.read.text(path).select(
+        _as_path(F.col("_metadata.file_path")).alias("file"), "value", F.when(starts, row).alias("place")
+    )
+
+
+def _header_parts() -> list[Column]:
+    """Aggregates that hold the hash of a file's first line, in two halves.
+
+    The position stands in front of the hash in one number, so the least number
+    is that of the first line. Unlike a first text, numbers are aggregated in
+    place, without sorting the lines.
+    """
+    line = F.xxhash64(F.when(F.startswith("value", F.lit("\ufeff")), F.substring("value", 2, 1 << 30)).otherwise(F.col("value")))
+    mask = F.lit((1 << _HASH_BITS) - 1)
+    halves = [line.bitwiseAND(mask), F.shiftrightunsigned(line, _HASH_BITS).bitwiseAND(mask)]
+    placed = [F.shiftleft("place", _HASH_BITS).bitwiseOR(half) for half in halves]
+    return [F.min(value).alias(f"_header{number}") for number, value in enumerate(placed)]
+
+
+def _header_hash() -> Column:
+    mask = F.lit((1 << _HASH_BITS) - 1)
+    high, low = (F.col(f"_header{number}").bitwiseAND(mask) for number in (1, 0))
+    return F.shiftleft(high, _HASH_BITS).bitwiseOR(low).alias("header")
+
+
 def probe_files(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
-    """Per file: ``file``, the first ``charset`` that decodes all of it, ``multiline``.
+    """Per file: ``file``, the first ``charset`` that decodes all of it, ``multiline``, ``header``.
 
     Reads raw lines, so large files are probed in splits; flags are combined
     per file before the shuffle. A line that leaves a quoted field open shows
-    that records run over line ends.
+    that records run over line ends. ``header`` is a hash of the first line
+    that is not blank, without a byte order mark; files without any have none.
     """
     line = F.col("value")
     order = charset_order(encoding)
     flags = [F.bool_and(_decodes(line, charset)).alias(charset) for charset in order]
     probed = (
-        spark.read.text(path)
-        .select(_as_path(F.col("_metadata.file_path")).alias("file"), "value")
+        _raw_lines(spark, path)
         .groupBy("file")
-        .agg(*flags, F.bool_or(opens_quotes(line)).alias("multiline"))
+        .agg(*flags, F.bool_or(opens_quotes(line)).alias("multiline"), *_header_parts())
     )
     picked = F.coalesce(*[F.when(F.col(charset), F.lit(charset)) for charset in order])
-    return probed.select("file", picked.alias("charset"), "multiline")
+    return probed.select("file", picked.alias("charset"), "multiline", _header_hash())
+
+
+def header_census(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Per file: ``file`` and the hash of its ``header`` line."""
+    return _raw_lines(spark, path).groupBy("file").agg(*_header_parts()).select("file", _header_hash())
+
+
+def files_by(census: DataFrame, *keys: str) -> dict[tuple, list[str]]:
+    """Sorted names of the files of each group.
+
+    Names come to the driver one by one, which Spark's readers need them on;
+    a single row with all names of a group could grow past any row's limit.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for row in census.select(*keys, "file").toLocalIterator():
+        groups.setdefault(tuple(row[key] for key in keys), []).append(row["file"])
+    return {key: sorted(groups[key]) for key in sorted(groups, key=repr)}
 
 
 def _has_extra_fields(record: Column, columns: int) -> Column:
@@ -260,33 +310,36 @@ def read_bank_csv(spark: SparkSession, path: str | list[str], encoding: str | No
     carry the file they came from (``_import_id``) and their position
     (``_ingest_order``).
 
+    Headers are counted per file: columns are matched by position, so names may
+    differ between files, but files that differ in their number of columns are
+    refused. (A header that itself spans lines is told apart by its first line.)
+
     Only names of files pass through the driver, one per input file; files are
     read in splits, also where quoted fields span lines.
     """
     configure(spark)
-    groups = (
-        probe_files(spark, path, encoding)
-        .groupBy("charset", "multiline")
-        .agg(F.sort_array(F.collect_list("file")).alias("files"))
-        .orderBy("charset", "multiline")
-        .collect()
-    )
-    if not groups:
+    kinds = files_by(probe_files(spark, path, encoding), "charset", "multiline", "header")
+    if not kinds:
         raise ValueError(f"no lines in {path}")
+    names = {kind: _header(spark, files[0], *kind[:2]) for kind, files in kinds.items() if kind[2] is not None}
+    widths = {len(columns): kinds[kind][0] for kind, columns in names.items()}
+    if len(widths) > 1:
+        found = ", ".join(f"{width} in {file}" for width, file in sorted(widths.items()))
+        raise ValueError(f"files differ in their number of columns: {found}")
+    if not names:
+        raise ValueError(f"no header in {path}")
+    groups: dict[tuple, list[str]] = {}
+    for kind in names:
+        groups.setdefault(kind[:2], []).extend(kinds[kind])
+    width = next(iter(names.values()))
     rows, skipped = [], []
-    width: list[str] | None = None
-    for group in groups:
-        names = _header(spark, group.files[0], group.charset, group.multiline)
-        read = _read_wrapped if group.multiline else _read_lines
-        frame = read(spark, group.files, group.charset, names)
-        if width is not None and len(names) != len(width):
-            raise ValueError(f"files differ in their number of columns: {len(width)} and {len(names)}")
-        width = width or names
-        frame = frame.toDF(*width, _RAW, IMPORT_ID, INGEST_ORDER)
+    for (charset, multiline), files in groups.items():
+        read = _read_wrapped if multiline else _read_lines
+        frame = read(spark, sorted(files), charset, width).toDF(*width, _RAW, IMPORT_ID, INGEST_ORDER)
         # The length is always true: Spark refuses queries that need nothing but
         # the raw record, and a count would.
         any_field = F.length(F.coalesce(F.col(f"`{width[0]}`"), F.lit(""))) >= 0
-        too_long = F.coalesce(_has_extra_fields(F.col(_RAW), len(names)), F.lit(False)) & any_field
+        too_long = F.coalesce(_has_extra_fields(F.col(_RAW), len(width)), F.lit(False)) & any_field
         known = [
             F.when(F.col(f"`{name}`").isin(*MISSING_TOKENS), None).otherwise(F.col(f"`{name}`")).alias(name)
             for name in width

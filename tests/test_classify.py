@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keywords import match_label
-from ledgerloom.operators import classify
+from ledgerloom.operators import classify, rule_index
 from ledgerloom.rules import RULE_SCHEMA, RuleSet, display_rules, expense_rules, income_rules
 
 EXPENSE_CASES = [
@@ -86,9 +86,11 @@ def test_no_rules_mean_the_default(spark):
     assert labels(spark, ["a"], lambda t: match_label(t, RuleSet((), "NONE"))) == ["NONE"]
 
 
-@pytest.mark.parametrize("rules_per_broadcast", [classify.RULES_PER_BROADCAST, 100])
-def test_rules_join_equals_first_match(spark, monkeypatch, rules_per_broadcast):
-    monkeypatch.setattr(classify, "RULES_PER_BROADCAST", rules_per_broadcast)
+@pytest.mark.parametrize("most, hot", [(rule_index.KEYWORDS_BROADCAST, 10_000), (100, 1)])
+def test_rules_join_equals_first_match(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(rule_index, "KEYWORDS_BROADCAST", most)
+    monkeypatch.setattr(classify, "KEYWORDS_BROADCAST", most)
+    monkeypatch.setattr(rule_index, "HOT_RUN", hot)
     generator = random.Random(5)
     words = [word for _, listed in expense_rules().rules for word in listed]
     texts = [" ".join(generator.choices(words + ["lorem", "k", ""], k=3)) for _ in range(200)] + ["", "x"]
@@ -101,6 +103,41 @@ def test_rules_join_equals_first_match(spark, monkeypatch, rules_per_broadcast):
     assert empty.where("category = 'MISC'").count() == len(texts)
 
 
+@pytest.mark.parametrize("hot, searches", [(10_000, 64), (2, 3)])
+def test_keyword_hits_equal_brute_force(spark, monkeypatch, hot, searches):
+    monkeypatch.setattr(rule_index, "HOT_RUN", hot)
+    monkeypatch.setattr(rule_index, "SHORT_SEARCHES", searches)
+    monkeypatch.setattr(rule_index, "KEYWORDS_BROADCAST", 10 if hot == 2 else 1000)
+    generator = random.Random(9)
+    word = lambda longest: "".join(generator.choice("abż\n") for _ in range(generator.randint(1, longest)))
+    words, texts = sorted({word(6) for _ in range(60)}), [word(30) for _ in range(120)] + ["", None]
+    rows = spark.createDataFrame([(number, text) for number, text in enumerate(texts)], "n int, t string")
+    found = rule_index.keyword_hits(rows, "t", spark.createDataFrame([(word,) for word in words], "keyword string"))
+    wanted = sorted((number, word) for number, text in enumerate(texts) for word in words if word in (text or ""))
+    assert sorted((row.n, row.keyword) for row in found.collect()) == wanted
+
+
+def test_keywords_are_found_in_one_pass(spark, tmp_path):
+    spark.createDataFrame([(1, "a fuel station")], "n int, t string").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    hits = rule_index.keyword_hits(rows, "t", expense_rules().to_dataframe(spark))
+    text = hits._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") - text.split("InMemoryRelation", 1)[-1].count("FileScan parquet") <= 1
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_shadowed_keywords(spark):
+    rules = [(1, "A", "red"), (2, "B", "red rod"), (3, "C", "colored"), (3, "C", "rod"), (0, "D", "d"), (5, "E", ""), (4, "F", "rod")]
+    found = rule_index.shadowed_keywords(spark.createDataFrame(rules, RULE_SCHEMA)).collect()
+    assert sorted(map(tuple, found)) == [
+        ("colored", "C", "d", "D"),
+        ("red", "A", "d", "D"),
+        ("red rod", "B", "d", "D"),
+        ("rod", "C", "d", "D"),
+    ]
+    assert rule_index.shadowed_keywords(spark.createDataFrame([], RULE_SCHEMA)).collect() == []
+
+
 def test_replacements_apply_in_order(spark):
     pairs = {
         "purchase in terminal - mobile code": "terminal purchase",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from ledgerloom.operators.normalise import IMPORT_ID, INGEST_ORDER, NORMALISED_COLUMNS, normalise
-from ledgerloom.sources.bank_csv import charset_order, probe_files, read_bank_csv
+from ledgerloom.sources.bank_csv import charset_order, files_by, header_census, probe_files, read_bank_csv
 from ledgerloom.sources.processed import read_processed
 
 HEADER = "Data operacji,Data waluty,Typ transakcji,Kwota,Waluta,Opis transakcji,unnamed_6,data,unnamed_8\n"
@@ -223,3 +223,45 @@ def test_processed_files_are_read_by_name(spark, tmp_path):
     (tmp_path / "c.csv").write_text("a,b\n1,2\n")
     with pytest.raises(AnalysisException, match="UNRESOLVED_COLUMN"):
         read_processed(spark, str(tmp_path / "c.csv"))
+
+
+@pytest.mark.parametrize("width", [8, 10])
+def test_every_file_has_as_many_columns(spark, tmp_path, width):
+    (tmp_path / "a.csv").write_text(HEADER + bank_line("one"))
+    (tmp_path / "b.csv").write_text("\n" + ",".join(f"c{n}" for n in range(width)) + "\n" + ",".join(["x"] * width) + "\n")
+    with pytest.raises(ValueError, match=f"number of columns: .*{width} in .*b.csv"):
+        read_bank_csv(spark, str(tmp_path))
+
+
+def test_headers_of_other_names_are_read_by_position(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + bank_line("one"))
+    (tmp_path / "b.csv").write_text("\ufeff" + HEADER.upper() + bank_line("two"), encoding="utf-8")
+    (tmp_path / "c.csv").write_text(HEADER + bank_line("three"))
+    (tmp_path / "d.csv").write_text("\n  \n")
+    assert texts(read_bank_csv(spark, str(tmp_path)).rows) == ["one", "two", "three"]
+    headers = {row.file[-5:]: row.header for row in probe_files(spark, str(tmp_path)).collect()}
+    assert headers["a.csv"] == headers["c.csv"] != headers["b.csv"] and headers["d.csv"] is None
+
+
+def test_headers_are_found_in_splits(spark, tmp_path):
+    for number in range(5):
+        (tmp_path / f"{number}.csv").write_text("\n" * number + f"head{number % 2},b\n" + "line,2\n" * 50)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split_bytes in ("40", "200", "100000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+        try:
+            groups = files_by(header_census(spark, str(tmp_path)), "header")
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert sorted([name[-5] for name in names] for names in groups.values()) == [["0", "2", "4"], ["1", "3"]]
+
+
+def test_processed_files_in_two_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("month,year,category,amount\n1,2024,FUEL,5.0\n")
+    (tmp_path / "b.csv").write_text("\ufeffamount,category,x,year,month\n7.0,FUEL,?,2024,2\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("")
+    found = read_processed(spark, str(tmp_path)).orderBy("month").collect()
+    assert [tuple(row)[:4] for row in found] == [("1", "2024", "FUEL", "5.0"), ("2", "2024", "FUEL", "7.0")]
+    (tmp_path / "d.csv").write_text("amount,category,year\n7.0,FUEL,2024\n")
+    with pytest.raises(AnalysisException, match="UNRESOLVED_COLUMN"):
+        read_processed(spark, str(tmp_path))
