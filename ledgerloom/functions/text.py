@@ -64,15 +64,21 @@ def strict_double(text: Column, what: str = "amount") -> Column:
     Accepts signs, exponents, digit-group underscores, ``inf`` and ``nan``
     surrounded by blanks. The failure names the field, never its content.
     """
+    failure = F.raise_error(F.lit(f"{what} is not a number")).cast("double")
+    return _number(text).when(text.isNull(), F.lit(None).cast("double")).otherwise(failure)
+
+
+def _number(text: Column) -> Column:
+    """Cases that parse a number; to be ended by what else there may be."""
     simple = text.rlike(r"^[+-]?[0-9]+(?:\.[0-9]*)?\z")
     tidy = F.regexp_replace(strip(text), r"(?<=[0-9])_(?=[0-9])|^[+-](?=[nN][aA][nN]\z)", "")
     number = r"(?i)^(?:nan|[+-]?(?:inf|infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?))\z"
-    return (
-        F.when(simple, text.try_cast("double"))
-        .when(text.isNull(), F.lit(None).cast("double"))
-        .when(tidy.rlike(number), tidy.try_cast("double"))
-        .otherwise(F.raise_error(F.lit(f"{what} is not a number")).cast("double"))
-    )
+    return F.when(simple, text.try_cast("double")).when(tidy.rlike(number), tidy.try_cast("double"))
+
+
+def readable_double(text: Column) -> Column:
+    """The number ``strict_double`` parses, and null where it would fail."""
+    return _number(text).otherwise(F.lit(None).cast("double"))
 
 
 def float_text(number: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +21,7 @@ from ledgerloom.operators import classify, review
 from ledgerloom.operators.ids import assign_txn_ids, with_occurrence
 from ledgerloom.operators.location import with_location
 from ledgerloom.operators.merge import merge_bucketed, merge_import
+from ledgerloom.operators.metrics import import_quality as quality_report
 from ledgerloom.operators.metrics import preview
 from ledgerloom.operators.normalise import IMPORT_ID, INGEST_ORDER, RAW_COLUMNS, normalise
 from ledgerloom.operators.tracks import (
@@ -33,9 +34,10 @@ from ledgerloom.operators.tracks import (
     only_track,
 )
 from ledgerloom.plans.ledger_views import orders_ledger, raw_events, raw_lineitems, read_table
+from ledgerloom.operators.rule_index import shadowed_keywords
 from ledgerloom.rules import DEFAULT_EXPENSE, REFUND_LABEL, expense_rules
 from ledgerloom.session import configure, scratch_folder
-from ledgerloom.sinks.tables import write_cleaned, write_ledger
+from ledgerloom.sinks.tables import write_cleaned, write_csv, write_ledger
 from ledgerloom.sources.bank_csv import read_bank_csv
 from ledgerloom.sources.processed import read_processed
 from ledgerloom.streaming.drop_folder import import_frames
@@ -432,6 +434,81 @@ def first_rows(spark: SparkSession, folder: str) -> DataFrame:
     return preview(rows, order_by=["event_id"])
 
 
+@query
+def import_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Gate counts of both imports, with some amounts missing and some unreadable."""
+    first, second = (with_occurrence(normalise(raw)) for raw in _imports(spark, folder))
+    number = F.col(INGEST_ORDER)
+    amount = F.when(number % 13 == 1, F.lit("NaN")).when(number % 13 == 2, F.lit(None)).when(number % 13 == 3, F.lit("12,x"))
+    rows = first.unionByName(second).withColumns(
+        {
+            "amount": F.when(number % 13 < 4, amount).otherwise(F.col("amount")),
+            "booking_date": F.when(number % 17 != 0, F.col("booking_date")),
+            "data": F.when(number % 19 != 0, F.col("data")).otherwise(F.lit("")),
+        }
+    )
+    return quality_report(rows)
+
+
+@query
+def lint_part_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Idle keywords among the names and words of parts, each brand a label of its number's rank."""
+    brand = F.col("p_brand")
+    named = read_table(spark, folder, "part").select(
+        F.regexp_extract(brand, "[0-9]+", 0).cast("int").alias("priority"),
+        brand.alias("label"),
+        F.explode(F.array_append(F.split(F.lower("p_name"), " "), F.lower("p_name"))).alias("keyword"),
+    )
+    return shadowed_keywords(named.distinct())
+
+
+@query
+def track_without_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Both tracks of rows that were never given ids: the id column is there, and empty."""
+    rows = _events(spark, folder)
+    columns = ["txn_id", "day", "month", "year", "amount", "category", "data"]
+    return expense_track(rows).select(*columns).unionByName(income_track(rows).select(*columns))
+
+
+@query
+def empty_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Cleaned expenses of a year without any, written and read back: headers, and not one record."""
+    target = scratch_folder(spark, "empty")
+    write_cleaned(expense_track(_identified(spark, folder).where(F.col("year") < 1900)), target)
+    lines = spark.read.text(target).select(F.regexp_replace("value", "^\ufeff", "").alias("header"))
+    records = read_processed(spark, target).agg(F.count(F.lit(1)).alias("records"))
+    return lines.distinct().withColumn("records", F.lit(records.first()["records"]))
+
+
+def _quoted_writer(rows: DataFrame) -> DataFrameWriter:
+    writer = rows.write.option("header", True).option("escape", '"')
+    return writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+
+
+@query
+def bank_csv_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Bank files under two headers of other names, which are matched by position."""
+    target = scratch_folder(spark, "headers")
+    raw = raw_events(spark, folder).withColumn("unnamed_8", F.col(INGEST_ORDER).cast("string"))
+    odd = F.col(INGEST_ORDER) % 2 == 1
+    _quoted_writer(raw.where(~odd).select(*RAW_COLUMNS)).csv(f"{target}/plain")
+    other = [F.col(name).alias(f"Field {place}, {name.upper()}") for place, name in enumerate(RAW_COLUMNS)]
+    _quoted_writer(raw.where(odd).select(*other)).csv(f"{target}/other")
+    rows = normalise(read_bank_csv(spark, [f"{target}/plain", f"{target}/other"]).rows)
+    return rows.select("description", "amount", "data", "day")
+
+
+@query
+def processed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Cleaned expenses in files of two column orders, read back by each file's own header."""
+    target = scratch_folder(spark, "orders")
+    rows = review.cleaned_rows(expense_track(_identified(spark, folder)))
+    write_csv(rows.where(F.col("day") % 2 == 0), f"{target}/plain", mark=True)
+    turned = rows.where(F.col("day") % 2 == 1).select(*reversed(rows.columns), F.lit("more").alias("note"))
+    write_csv(turned, f"{target}/turned")
+    return read_processed(spark, [f"{target}/plain", f"{target}/turned"])
+
+
 @query
 def bank_csv_import(spark: SparkSession, folder: str) -> DataFrame:
     """Events written as bank files in two charsets and read back."""

@@ -15,7 +15,15 @@ from ledgerloom.functions.location import (
 from ledgerloom.operators.classify import DESCRIPTION_REPLACEMENTS
 from ledgerloom.operators.metrics import PREVIEW_ROWS
 from ledgerloom.plans.ledger_views import EVENT_TYPES, FEE, INCOME_EVENTS, MERCHANTS
-from ledgerloom.rules import REFUND_LABEL, RuleSet, display_rules, expense_rules, income_rules
+from ledgerloom.rules import (
+    DEFAULT_EXPENSE,
+    DEFAULT_INCOME,
+    REFUND_LABEL,
+    RuleSet,
+    display_rules,
+    expense_rules,
+    income_rules,
+)
 
 # The same character classes in the RE2 dialect.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -394,6 +402,51 @@ SQL: dict[str, str] = {
     "WHERE category = 'INCOME_MISC'",
     "first_rows": ctes(*EVENTS)
     + f"SELECT event_id, txn_type, amount, data FROM norm ORDER BY event_id LIMIT {PREVIEW_ROWS}",
+    "import_quality": ctes(
+        *IMPORTS,
+        f"""gated AS (SELECT CASE import_no WHEN 1 THEN 'first' ELSE 'second' END AS import_id, occurrence > 0 AS repeated,
+         event_id % 17 = 0 AS undated, event_id % 13 = 3 AS unreadable,
+         CASE WHEN event_id % 13 < 4 AND event_id % 13 > 0 THEN NULL WHEN event_id % 13 = 0 THEN NULL
+              ELSE CAST(amount AS DOUBLE) END AS value,
+         {replaced("CASE WHEN event_id % 19 = 0 THEN '' ELSE data END", DESCRIPTION_REPLACEMENTS)} AS data FROM ids)""",
+        f"""tracked AS (SELECT *, CASE WHEN spending = '{REFUND_LABEL}' OR value IS NULL THEN 'none'
+              WHEN value > 0 THEN 'income' ELSE 'expense' END AS track
+         FROM (SELECT *, {EXPENSE_LABEL} AS spending, {INCOME_LABEL} AS earning FROM gated))""",
+    )
+    + f"""SELECT CASE grouping(import_id, track) WHEN 0 THEN 'track' WHEN 1 THEN 'import' ELSE 'all' END AS level,
+       import_id, track, count(*) AS rows, count(*) FILTER (value IS NULL AND NOT unreadable) AS missing_amounts,
+       count(*) FILTER (unreadable) AS unreadable_amounts, count(*) FILTER (spending = '{REFUND_LABEL}') AS refunds,
+       count(*) FILTER (undated) AS undated, count(*) FILTER (data = '') AS without_text,
+       count(*) FILTER (CASE track WHEN 'income' THEN earning = '{DEFAULT_INCOME}'
+                        WHEN 'expense' THEN spending = '{DEFAULT_EXPENSE}' ELSE false END) AS unlabelled,
+       count(*) FILTER (repeated) AS repeated_rows
+  FROM tracked GROUP BY GROUPING SETS ((import_id, track), (import_id), ())""",
+    "lint_part_names": """WITH named AS (
+  SELECT DISTINCT CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) AS priority, p_brand AS label,
+         unnest(list_append(string_split(lower(p_name), ' '), lower(p_name))) AS keyword FROM part
+), best AS (
+  SELECT keyword, arg_min(label, (priority, label)) AS label, min(priority) AS priority FROM named WHERE keyword <> '' GROUP BY keyword
+)
+SELECT a.keyword, a.label, arg_min(b.keyword, (b.priority, b.label, b.keyword)) AS by_keyword,
+       arg_min(b.label, (b.priority, b.label, b.keyword)) AS by_label
+FROM best a JOIN best b ON contains(a.keyword, b.keyword) AND a.keyword <> b.keyword AND b.priority < a.priority
+GROUP BY a.keyword, a.label""",
+    "track_without_ids": ctes(*EVENTS, "ids AS (SELECT *, '' AS txn_id FROM norm)", *PREPARED, EXPENSES, INCOMES)
+    + "SELECT * FROM expenses UNION ALL SELECT * FROM incomes",
+    "empty_ledger": ctes(*TRACKS)
+    + "SELECT 'txn_id,day,month,year,category,amount' AS header, CAST(count(*) AS INTEGER) AS records FROM expenses WHERE year < 1900",
+    "bank_csv_headers": ctes(
+        MERCHANT_ROWS,
+        RAW.replace("raw AS (", "source AS (", 1),
+        """raw AS (SELECT * REPLACE (CAST(event_id AS VARCHAR) AS unnamed_8, nullif(unnamed_6, '') AS unnamed_6,
+       nullif(data, '') AS data, nullif(nullif(description, 'nan'), '') AS description,
+       nullif(txn_type, 'nan') AS txn_type) FROM source)""",
+        NORM,
+    )
+    + "SELECT description, amount, data, day FROM norm",
+    "processed_orders": ctes(*TRACKS, DISPLAY)
+    + """SELECT CAST(month AS VARCHAR) AS month, CAST(year AS VARCHAR) AS year, e.category AS item, amount,
+       d.category, d.importance FROM expenses e JOIN display d ON d.label = e.category""",
     "bank_csv_import": ctes(
         MERCHANT_ROWS,
         RAW.replace("raw AS (", "source AS (", 1),
