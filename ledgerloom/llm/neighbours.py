@@ -6,10 +6,17 @@ vector lie. Every row is indexed under its most probable part. A query is routed
 to its most probable parts, and their rows are ranked by the exact distance.
 How many parts are probed is measured on sample queries that the classifier has
 not seen.
+
+A part holds about ``PART_ROWS`` rows however many rows there are. Where that
+takes more parts than one classifier tells apart, parts are cut again by
+classifiers of their own, level by level, each fitted by a Spark task on a
+sample of its part.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +29,13 @@ from ledgerloom.llm.common import checkpointed
 
 SAMPLE_ROWS = 8192
 PART_ROWS = 1024
-MAX_PARTS = 64
+LEAST_PARTS = 8
+# Parts that one classifier tells apart at most; beyond, there are more levels.
+BRANCH = 64
+# Classifiers that every task is handed at most (each some 100 kB); beyond, they are shuffled to their rows.
+SHARED_ROUTERS = 128
+# Parts whose sizes are broadcast at most.
+SHARED_PARTS = 2_000_000
 GRAPH_NEIGHBOURS = 10
 HIDDEN = 96
 TARGET_RECALL = 0.95
@@ -135,10 +148,10 @@ def _fit(vectors: np.ndarray, wanted: np.ndarray, epochs: int = 40) -> Router:
     return Router(*weights)
 
 
-def learn_router(sample: np.ndarray, rows: int, neighbours: int = 10, target: float = TARGET_RECALL) -> Router:
-    """Parts, classifier and number of probes from a sample; ``rows`` is how many the index will hold."""
+def learn_router(sample: np.ndarray, parts: int, neighbours: int = 10, target: float = TARGET_RECALL) -> Router:
+    """Parts, classifier and number of probes from a sample of distinct vectors."""
     dims = sample.shape[1] if sample.ndim == 2 else 1
-    parts = int(min(MAX_PARTS, max(1, rows // PART_ROWS), max(1, len(sample) // 32)))
+    parts = int(min(parts, max(1, len(sample) // 32)))
     if parts == 1:
         return Router(np.zeros((dims + 1, 1)), np.zeros((2, 1)), 1)
     graph = _nearest(sample, sample, GRAPH_NEIGHBOURS, np.arange(len(sample)))
@@ -162,6 +175,15 @@ def learn_router(sample: np.ndarray, rows: int, neighbours: int = 10, target: fl
     return router
 
 
+def levels_for(rows: int) -> tuple[int, int]:
+    """How many levels of classifiers, and into how many parts each of them cuts."""
+    parts = max(rows // PART_ROWS, min(LEAST_PARTS, rows // 32), 1)
+    levels = 1
+    while BRANCH**levels < parts:
+        levels += 1
+    return levels, max(1, math.ceil(parts ** (1 / levels) - 1e-9))
+
+
 def usable(vector: Column) -> Column:
     """Not null, without null or non-finite components, not all zero."""
     finite = F.forall(vector, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
@@ -172,19 +194,87 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dims)
 
 
-def _placed(vectors: DataFrame, router: Router, dims: int) -> DataFrame:
-    """``part``: all parts of a vector, the most probable first."""
-    shared = vectors.sparkSession.sparkContext.broadcast(router)
+def _routers(rows: DataFrame, level: int, branch: int, dims: int, sample_rows: int, neighbours: int, target: float) -> DataFrame:
+    """A classifier for every ``node`` that holds rows, fitted on a sample of its distinct vectors.
+
+    Vectors are drawn by a hash of their own, so that copies are drawn together
+    and count once; a sample exceeds ``sample_rows`` by chance only.
+    """
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    draw = F.shiftrightunsigned(F.xxhash64("vector", F.lit(level)), 34)
+    drawn = _with(rows, counts, "node").where(draw < F.lit(float(sample_rows << 30)) / F.col("n"))
+    sample = drawn.select("node", "vector").distinct()
+
+    def learn(group: pa.Table) -> pa.Table:
+        vectors = _matrix(group.column("vector").combine_chunks(), dims)
+        # The order in which Spark brings the rows must not matter.
+        vectors = vectors[np.lexsort(vectors.T[::-1])][np.random.default_rng(7).permutation(len(vectors))]
+        router = learn_router(vectors, branch, neighbours, target)
+        return pa.table({"node": group.column("node")[:1], "router": pa.array([pickle.dumps(router)], pa.binary())})
+
+    return checkpointed(sample.groupBy("node").applyInArrow(learn, "node long, router binary"), "routers")
+
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = shared.value.order(_matrix(batch.column(1), dims)).astype(np.int32)
-            parts = pa.array(list(order), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], ["id", "vector", "parts"])
+def _with(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Rows with what is known of their part; the facts are broadcast up to ``SHARED_PARTS`` parts."""
+    known = facts.persist()
+    return rows.join(F.broadcast(known) if known.count() <= SHARED_PARTS else known, key)
 
-    return vectors.mapInArrow(place, "id long, vector array<double>, parts array<int>")
+
+def _step(rows: DataFrame, routers: DataFrame, dims: int, branch: int, queries: bool, count: int) -> DataFrame:
+    """Rows moved from their node to a child of it, queries to each child that they probe.
+
+    ``routers`` hold ``node``, ``router`` and ``held``: how many rows every
+    child has. A query probes further children until those before hold more
+    rows than it wants.
+    """
+
+    def children(router: Router, held: list[int], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and the children that they go to."""
+        order = router.order(vectors)
+        if not queries:
+            return np.arange(len(vectors)), order[:, 0]
+        sizes = np.array(held + [0] * (order.shape[1] - len(held)), np.int64)[order]
+        before = np.cumsum(sizes, 1) - sizes
+        wanted = ((np.arange(order.shape[1]) < router.probes) | (before <= count)) & (sizes > 0)
+        at, place = np.nonzero(wanted)
+        return at, order[at, place]
+
+    def moved(ids: pa.Array, vectors: pa.Array, node: int, router: Router, held: list[int]) -> pa.RecordBatch:
+        at, child = children(router, held, _matrix(vectors, dims))
+        chosen = pa.array(at)
+        columns = [ids.take(chosen), vectors.take(chosen), pa.array(node * branch + child.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "vector", "node"])
+
+    shape = "id long, vector array<double>, node long"
+    if routers.count() <= SHARED_ROUTERS:
+        known = {row["node"]: (pickle.loads(row["router"]), list(row["held"])) for row in routers.collect()}
+        shared = rows.sparkSession.sparkContext.broadcast(known)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                nodes = batch.column(2).to_numpy()
+                for node in np.unique(nodes):
+                    own = batch.filter(pa.array(nodes == node))
+                    yield moved(own.column(0), own.column(1), int(node), *shared.value[int(node)])
+
+        return rows.select("id", "vector", "node").mapInArrow(place, shape)
+
+    # Blocks of a node's rows, so that no task holds a large node.
+    lots = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("lots"))
+    block = F.pmod(F.xxhash64("id", "vector"), F.col("lots")).cast("int").alias("block")
+    dealt = _with(rows, lots, "node").select("id", "vector", "node", block)
+    copied = routers.join(lots, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+
+    def meet(own: pa.Table, router: pa.Table) -> pa.Table:
+        if not own.num_rows or not router.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "vector": pa.array([], pa.list_(pa.float64())), "node": pa.array([], pa.int64())})
+        fitted, held = pickle.loads(router.column("router")[0].as_py()), router.column("held")[0].as_py()
+        vectors = own.column("vector").combine_chunks()
+        batch = moved(own.column("id").combine_chunks(), vectors, own.column("node")[0].as_py(), fitted, held)
+        return pa.Table.from_batches([batch])
+
+    return dealt.groupBy("node", "block").cogroup(copied.groupBy("node", "block")).applyInArrow(meet, shape)
 
 
 def _best(queries: pa.Table, rows: pa.Table, dims: int, count: int) -> pa.Table:
@@ -221,12 +311,13 @@ def search(
     smaller id. Rows take no part if their id or vector is null or their vector
     holds null or non-finite components, is zero or has another length than
     most. Candidates of a query are all rows with another id; of several query
-    rows with one id the smallest vector asks. The router is fitted on
-    ``sample_rows`` rows in the order of a hash of their id; every row is
-    indexed. A query probes further parts until they hold more rows than it
-    wants, so it gets ``count`` rows if there are as many.
+    rows with one id the smallest vector asks. Every row is indexed; each
+    classifier is fitted on about ``sample_rows`` distinct vectors, drawn by a
+    hash, and probes so many parts that the recall on rows it has not seen is
+    ``target_recall`` over all levels. A query probes further parts until they
+    hold more rows than it wants, so it gets ``count`` rows if there are as
+    many. An empty table gives no rows; other columns are not read.
     """
-    spark = embeddings.sparkSession
     # Queries are marked on the caller's columns, before any is renamed.
     marked = embeddings.select(
         F.col(id_column).cast("long").alias("id"),
@@ -236,32 +327,41 @@ def search(
     sizes = marked.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     dims, total = (sizes["dims"], sizes["count"]) if sizes else (1, 0)
     marked = marked.where(F.size("vector") == dims)
-    chosen = marked.select("id", "vector").orderBy(F.xxhash64("id"), "id", "vector").limit(sample_rows).collect()
-    router = learn_router(np.array([row["vector"] for row in chosen], np.float64), total, count, target_recall)
-    index = _placed(marked.select("id", "vector"), router, dims).select("id", "vector", F.col("parts")[0].alias("part"))
-    index = checkpointed(index, "vector-index")
-    filled = {row["part"]: row["count"] for row in index.groupBy("part").count().collect()}
-    asked = marked.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    routed = _routed(_placed(asked, router, dims), router.probes, filled, count)
-    routed = checkpointed(routed, "routed-queries")
-    asks = {row["part"]: row["count"] for row in routed.groupBy("part").count().collect()}
-    # At most MAX_PARTS rows: into how many blocks each part's rows and queries are cut.
-    plan = spark.createDataFrame(
-        [(part, -(-rows // BLOCK_ROWS), -(-asks.get(part, 0) // BLOCK_QUERIES)) for part, rows in filled.items() if part in asks],
-        "part int, row_blocks int, query_blocks int",
-    )
+    root = F.lit(0).cast("long").alias("node")
+    index = marked.select("id", "vector", root)
+    asked = marked.where("asks").groupBy("id").agg(F.min("vector").alias("vector")).select("id", "vector", root)
+    levels, branch = levels_for(total)
+    for level in range(levels):
+        routers = _routers(index, level, branch, dims, sample_rows, count, target_recall ** (1 / levels))
+        blank = F.array().cast("array<long>").alias("held")
+        index = checkpointed(_step(index, routers.select("node", "router", blank), dims, branch, False, count), "vector-index")
+        child = F.struct(F.pmod("node", F.lit(branch)).cast("int").alias("child"), F.col("count").alias("n"))
+        filled = index.groupBy("node").count().select(F.floor(F.col("node") / branch).alias("node"), child.alias("one"))
+        held = filled.groupBy("node").agg(F.map_from_entries(F.collect_list("one")).alias("sizes"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(branch - 1)), lambda at: F.coalesce(F.try_element_at("sizes", at), F.lit(0)))
+        full = routers.join(held, "node").select("node", "router", every.alias("held"))
+        asked = checkpointed(_step(asked, full, dims, branch, True, count), "routed-queries")
+    return _compared(index, asked, dims, count)
+
+
+def _compared(index: DataFrame, asked: DataFrame, dims: int, count: int) -> DataFrame:
+    """The nearest rows among those that share a part with a query, part by part in blocks."""
+    rows = index.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("row_blocks"))
+    asks = asked.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("query_blocks"))
+    # Into how many blocks each part's rows and queries are cut.
+    plan = checkpointed(rows.join(asks, "node"), "neighbour-plan")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     block = lambda name, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(name)).cast("int")
-    rows_side = index.join(F.broadcast(plan), "part").select(
-        "part", block("row_blocks", 1).alias("row_block"), every("query_blocks").alias("query_block"), "id", "vector"
+    rows_side = _with(index, plan, "node").select(
+        "node", block("row_blocks", 1).alias("row_block"), every("query_blocks").alias("query_block"), "id", "vector"
     )
-    query_side = routed.join(F.broadcast(plan), "part").select(
-        "part", every("row_blocks").alias("row_block"), block("query_blocks", 2).alias("query_block"), "id", "vector"
+    query_side = _with(asked, plan, "node").select(
+        "node", every("row_blocks").alias("row_block"), block("query_blocks", 2).alias("query_block"), "id", "vector"
     )
-    keys = ["part", "row_block", "query_block"]
+    keys = ["node", "row_block", "query_block"]
 
-    def rank(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        return _best(queries, rows, dims, count)
+    def rank(queries: pa.Table, own: pa.Table) -> pa.Table:
+        return _best(queries, own, dims, count)
 
     found = query_side.groupBy(*keys).cogroup(rows_side.groupBy(*keys)).applyInArrow(
         rank, "query_id long, vec_id long, score double"
@@ -269,14 +369,3 @@ def search(
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
     return ranked.select("query_id", "rank", "vec_id", "score")
-
-
-def _routed(queries: DataFrame, probes: int, filled: dict[int, int], count: int) -> DataFrame:
-    """Queries once for each part they probe."""
-    sizes = F.create_map(*[F.lit(x) for pair in filled.items() for x in pair]) if filled else None
-    if sizes is None:
-        return queries.select("id", "vector", F.explode("parts").alias("part")).limit(0)
-    held = F.transform("parts", lambda part: F.coalesce(F.try_element_at(sizes, part), F.lit(0)))
-    ranked = queries.withColumn("held", held).select("id", "vector", "held", F.posexplode("parts").alias("place", "part"))
-    before = F.aggregate(F.slice("held", 1, F.col("place")), F.lit(0).cast("long"), lambda sum_, size: sum_ + size)
-    return ranked.where((F.col("place") < probes) | (before <= count)).select("id", "vector", "part")

@@ -33,24 +33,75 @@ def by_query(df):
     return found
 
 
-def test_recall_against_brute_force(spark):
-    df = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id", "embedding")
+def recall(wanted, found):
+    assert wanted.keys() == found.keys() and all(len(own) == 10 for own in found.values())
+    hits = [len({key for key, _ in own} & {key for key, _ in found[query]}) for query, own in wanted.items()]
+    return sum(hits) / (10 * len(hits))
+
+
+def watched(monkeypatch):
+    """What a search compares: how many pairs of a query and a row, and in how many parts the rows are."""
+    seen = {}
+    compared = neighbours._compared
+
+    def count(index, asked, dims, wanted):
+        sizes = {row["node"]: row["count"] for row in index.groupBy("node").count().collect()}
+        seen["parts"], seen["rows"] = len(sizes), sum(sizes.values())
+        asks = {row["node"]: row["count"] for row in asked.groupBy("node").count().collect()}
+        seen["pairs"] = sum(sizes[node] * many for node, many in asks.items())
+        return compared(index, asked, dims, wanted)
+
+    monkeypatch.setattr(neighbours, "_compared", count)
+    return seen
+
+
+@pytest.mark.parametrize("folder, parts", [("/root/testdata/sf0.1", 8), ("/root/testdata/sf0.01", 8)])
+def test_recall_against_brute_force(spark, monkeypatch, folder, parts):
+    seen = watched(monkeypatch)
+    df = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
     rows = [tuple(row) for row in df.collect()]
     wanted, found = exact(rows), by_query(search(brute.with_clashing(df), F.col("vec_id") % 100 == 0))
-    hits = [len({key for key, _ in own} & {key for key, _ in found[query]}) for query, own in wanted.items()]
-    assert wanted.keys() == found.keys() and all(len(own) == 10 for own in found.values())
-    assert sum(hits) / (10 * len(hits)) >= 0.9
+    assert recall(wanted, found) >= 0.9
+    assert seen["parts"] == parts and seen["rows"] == len(rows)
 
 
-def test_many_parts_of_clustered_vectors(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART_ROWS", 64)
-    draw = np.random.default_rng(3)
-    centres = draw.normal(size=(20, 16)) * 5
-    matrix = centres[draw.integers(0, 20, 2000)] + draw.normal(size=(2000, 16))
-    rows = [(number, vector) for number, vector in enumerate(matrix.astype(np.float32).tolist())]
+def clustered(rows, clusters, dims=16, seed=3):
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(clusters, dims)) * 5
+    return (centres[draw.integers(0, clusters, rows)] + draw.normal(size=(rows, dims))).astype(np.float32)
+
+
+@pytest.mark.parametrize("branch, shared", [(64, 128), (4, 128), (4, 1)])
+def test_levels_of_parts_of_clustered_vectors(spark, monkeypatch, branch, shared):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 128)
+    monkeypatch.setattr(neighbours, "BRANCH", branch)
+    monkeypatch.setattr(neighbours, "SHARED_ROUTERS", shared)
+    seen = watched(monkeypatch)
+    rows = list(enumerate(clustered(2000, 20).tolist()))
     wanted, found = exact(rows), by_query(search(spark.createDataFrame(rows, SHAPE), F.col("vec_id") % 100 == 0))
-    hits = [len({key for key, _ in own} & {key for key, _ in found[query]}) for query, own in wanted.items()]
-    assert sum(hits) / (10 * len(hits)) >= 0.9
+    assert recall(wanted, found) >= 0.9
+    assert neighbours.levels_for(2000) == ((1, 15) if branch == 64 else (2, 4))
+    assert seen["parts"] > 8 and seen["rows"] == 2000
+
+
+def test_less_is_compared_as_rows_grow(spark, monkeypatch):
+    seen = watched(monkeypatch)
+    shares = []
+    for rows in (4_000, 50_000):
+        matrix = clustered(rows, 200)
+        df = spark.createDataFrame(list(enumerate(matrix.tolist())), SHAPE)
+        found = by_query(search(df, F.col("vec_id") % 100 == 0))
+        assert recall(exact(list(enumerate(matrix))), found) >= 0.9
+        assert seen["parts"] >= min(8, rows // 1024)
+        shares.append(seen["pairs"] / (rows * len(found)))
+    assert shares[1] < shares[0] / 2 < 0.3
+
+
+def test_levels_grow_with_the_rows():
+    assert [neighbours.levels_for(rows) for rows in (0, 40, 256, 2_000, 50_000)] == [(1, 1), (1, 1), (1, 8), (1, 8), (1, 48)]
+    for rows in (10**5, 10**7, 10**9, 10**12):
+        levels, branch = neighbours.levels_for(rows)
+        assert branch <= neighbours.BRANCH and branch**levels >= rows // neighbours.PART_ROWS
 
 
 def test_parts_are_balanced():
