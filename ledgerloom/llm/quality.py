@@ -1,7 +1,7 @@
 """Quality scores by compression.
 
-Two zstandard dictionaries are built, one from good and one from bad labelled
-text. A text that resembles good text packs smaller with the good dictionary.
+Two zstandard dictionaries are trained alike, one on good and one on bad
+labelled text. A text that resembles good text packs smaller with the good one.
 A logistic regression, fitted on labelled texts that no dictionary was built
 from, turns that into a probability. It reads the difference of both sizes
 normalised by the length, its share of their sum, both normalised sizes, the
@@ -28,19 +28,38 @@ MAX_CHARS = 20_000
 DICTIONARY_BYTES = 112_640
 # A dictionary learns from texts of a class until they have so many bytes.
 DICTIONARY_TEXT_BYTES = 4_000_000
+# Bytes to learn from for each byte of a dictionary, and bytes of a piece it learns from.
+BYTES_PER_BYTE = 8
+PIECE_BYTES = 4096
+LEAST_BYTES = 256
 LEVEL = 3
 
 
-def _dictionary(texts: list[bytes], text_bytes: int = DICTIONARY_TEXT_BYTES) -> bytes:
-    """A trained dictionary, or the last bytes of the texts themselves where they are too few to train on."""
-    kept, size = [], 0
+def _pieces(texts: list[bytes], text_bytes: int) -> list[bytes]:
+    """Pieces of the first texts that have ``text_bytes`` bytes together."""
+    pieces, size = [], 0
     for text in texts:
-        if text and size < text_bytes:
-            kept.append(text)
-            size += len(text)
-    if size >= 10 * DICTIONARY_BYTES and len(kept) >= 100:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, kept).as_bytes()
-    return b"".join(kept)[-DICTIONARY_BYTES:]
+        if size >= text_bytes:
+            break
+        pieces += [text[start : start + PIECE_BYTES] for start in range(0, len(text), PIECE_BYTES)]
+        size += len(text)
+    return pieces
+
+
+def dictionaries(texts: list[list[bytes]], text_bytes: int = DICTIONARY_TEXT_BYTES) -> list[bytes] | None:
+    """A trained dictionary for each class, of the same size and by the same way at every size.
+
+    The class with fewer bytes decides the size of both, or the larger
+    dictionary would pack anything better. None if a class is too small to train
+    one at all, which takes about 8 kB.
+    """
+    classes = [_pieces(own, text_bytes) for own in texts]
+    least = min(sum(map(len, pieces)) for pieces in classes)
+    size = min(DICTIONARY_BYTES, max(LEAST_BYTES, least // BYTES_PER_BYTE))
+    try:
+        return [zstandard.train_dictionary(size, pieces).as_bytes() for pieces in classes]
+    except zstandard.ZstdError:
+        return None
 
 
 class Sizes:
@@ -88,12 +107,15 @@ def train(sample: list[tuple[str, int]], prior: float, dictionary_text_bytes: in
     texts = [[text.encode() for text, label in sample if label == value] for value in (0, 1)]
     if min(map(len, texts)) < 2:
         return None
-    bad, good = ([_dictionary(own[::2], dictionary_text_bytes), own[1::2]] for own in texts)
-    sizes = Sizes(good[0], bad[0])
-    features = np.vstack([sizes.features(bad[1]), sizes.features(good[1])])
-    wanted = np.repeat([0.0, 1.0], [len(bad[1]), len(good[1])])
+    trained = dictionaries([own[::2] for own in texts], dictionary_text_bytes)
+    if trained is None:
+        return None
+    bad, good = (own[1::2] for own in texts)
+    sizes = Sizes(trained[1], trained[0])
+    features = np.vstack([sizes.features(bad), sizes.features(good)])
+    wanted = np.repeat([0.0, 1.0], [len(bad), len(good)])
     # The sample holds the classes alike, the corpus does not.
-    each = np.where(wanted == 1, prior / len(good[1]), (1 - prior) / len(bad[1]))
+    each = np.where(wanted == 1, prior / len(good), (1 - prior) / len(bad))
     centre, spread = features.mean(0), features.std(0) + 1e-9
     design = np.column_stack([np.clip((features - centre) / spread, -12, 12), np.ones(len(features))])
     ridge = np.eye(design.shape[1]) * 1e-5
@@ -104,7 +126,7 @@ def train(sample: list[tuple[str, int]], prior: float, dictionary_text_bytes: in
         curve = design.T @ (design * (guess * (1 - guess) * each)[:, None]) + ridge
         step = np.linalg.solve(curve, slope)
         weights += step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
-    return Model(good[0], bad[0], centre, spread, weights)
+    return Model(trained[1], trained[0], centre, spread, weights)
 
 
 def score_quality(
@@ -123,12 +145,13 @@ def score_quality(
     Learns from at most ``per_class`` labelled texts of each class and of at
     most ``max_chars`` characters, never from rows whose crc32(id) mod 4 is 2.
     Every other text of a class goes to its dictionary, which reads them until
-    they have ``dictionary_text_bytes`` bytes; under 1,126,400 bytes or 100 texts
-    it is not trained but holds their last 112,640 bytes as they are.
+    they have ``dictionary_text_bytes`` bytes; both dictionaries have an eighth
+    of the bytes that the smaller class gives, and at most 112,640.
     A null text counts as empty; all empty texts get the same score. With fewer
-    than two labelled texts of either class every score is the share of label 1
-    (1 without labels). Rows are kept one for one, ids may repeat or be null,
-    other columns are not read.
+    than two labelled texts of either class, or about 8 kB of either, every
+    score is the share of label 1 (1 without labels). Rows are kept one for one,
+    an empty table gives none, ids may repeat or be null, other columns are not
+    read.
     """
     known = labels.where((remainder(F.col(id_column), 4) != 2) & F.col(label).isin(0, 1))
     prior = known.agg(F.avg(label).alias("share")).first()["share"]
