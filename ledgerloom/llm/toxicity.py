@@ -56,6 +56,19 @@ class Bags:
         return np.bincount(self.word_window, sums / np.maximum(each, 1), windows) / sizes
 
 
+def _same(codes: np.ndarray, marks: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For the words that may equal the one before them, whether they do, letter by letter."""
+    later = np.flatnonzero(pairs) + 1
+    sizes = lengths[later].astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    letter = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    equal = codes[np.repeat(marks[later], sizes) + letter] == codes[np.repeat(marks[later - 1], sizes) + letter]
+    same = np.zeros(len(pairs), bool)
+    if len(later):
+        same[later - 1] = np.logical_and.reduceat(equal, first)
+    return same
+
+
 def bags(texts: list[str]) -> Bags:
     """N-grams of the words (runs of letters, digits and non-ASCII characters) of lower-cased texts.
 
@@ -81,6 +94,7 @@ def bags(texts: list[str]) -> Bags:
         odd = (2 * (lengths.max() + 1 - rest) + 1).astype(np.uint32) * np.uint32(0x85EBCA6B)
         signs = np.add.reduceat((codes[:-1] ^ (codes[:-1] << np.uint32(13))) * odd, marks[:-1])
         again = (signs[1:] == signs[:-1]) & (lengths[1:] == lengths[:-1]) & (in_text[1:] == in_text[:-1])
+        again &= _same(codes, marks, lengths, again)
         fresh = np.concatenate(([True], ~again))
         number = np.cumsum(fresh, dtype=np.int32) - 1
         rest = np.where(fresh[word], rest, 0)
