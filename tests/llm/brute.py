@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
 import xxhash
+import zstandard
 
 UPPER = {code: code + 32 for code in range(65, 91)}
 CLASHING = ["id", "row", "block", "fp", "words", "hashes", "part", "start", "n_tokens", "score", "hash", "carried", "key", "page"]
@@ -99,3 +101,45 @@ def url_verdict(url, rules):
         return host, path, None, "allow"
     _, name, start = max(fits)
     return host, path, name + start, rules[name, start]
+
+
+def quality(text, good, bad, centre, spread, weights):
+    """Score by the sizes that zstandard itself gives with either dictionary."""
+    sizes = []
+    for dictionary in (good, bad):
+        packer = zstandard.ZstdCompressor(
+            level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False
+        )
+        sizes.append(len(packer.compress(text)) / (len(text) + 32))
+    gap, share, log = sizes[0] - sizes[1], (sizes[0] - sizes[1]) / sum(sizes), math.log(len(text) + 32)
+    base = [gap, share, *sizes, log]
+    mixed = [abs(gap), gap * sizes[0], share * sizes[1], share * log, sizes[0] * log]
+    total = weights[-1]
+    for value, middle, wide, weight in zip([*base, *[each**2 for each in base], *mixed], centre, spread, weights):
+        total += min(12, max(-12, (value - middle) / wide)) * weight
+    return 1 / (1 + math.exp(-min(30, max(-30, total))))
+
+
+def toxicity(text, weights, bias, scale, shift):
+    """Worst window of eight words or so, word by word and n-gram by n-gram."""
+    words = re.findall("[a-z0-9\x80-\U0010ffff]+", text.lower().replace("\x00", " "))
+    words = [word for at, word in enumerate(words) if not at or word != words[at - 1]]
+    averages = []
+    for word in words:
+        # A word is opened and closed by a mark, a word without any n-gram of three to six counts as nothing.
+        codes = [0, *map(ord, word), 0]
+        rows = []
+        for length in range(3, 7):
+            for start in range(len(codes) - length + 1):
+                value = sum((code + 1) * pow(0x85EBCA77, place + 1, 2**32) for place, code in enumerate(codes[start : start + length])) % 2**32
+                value = (value ^ value >> 15) * 0x9E3779B1 % 2**32
+                rows.append(value >> 32 - 18)
+        averages.append(sum(weights[row] for row in rows) / max(1, len(rows)))
+    windows = max(1, -(-len(words) // 8))
+    sums, sizes = [0.0] * windows, [0] * windows
+    for rank, average in enumerate(averages):
+        window = rank * windows // len(words)
+        sums[window] += average
+        sizes[window] += 1
+    worst = max(total / max(1, size) + bias for total, size in zip(sums, sizes))
+    return 1 / (1 + math.exp(-min(30, max(-30, scale * worst + shift))))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import quality
+from ledgerloom.llm.labelled import labelled_sample
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.toxicity import bags, score_toxicity, train, without_toxic
 from tests.llm import brute
@@ -55,12 +56,38 @@ def test_odd_rows(spark, score, label, modulus, held_out, least):
     assert len(none) == 307 and len({row["score"] for row in none}) == 1
 
 
-def test_dictionary_reads_as_many_bytes_as_asked():
-    texts = [f"text {number} ".encode() * 10 for number in range(50)]
-    assert quality._dictionary(texts, 100) == texts[0] + texts[1]
-    assert quality._dictionary(texts, 10**6) == b"".join(texts)
-    sample = [(text.decode(), number % 2) for number, text in enumerate(texts)]
-    assert len(quality.train(sample, 0.5, 100).good) < len(quality.train(sample, 0.5).good)
+def test_dictionaries_are_built_alike():
+    texts = [[f"text {number} of {kind} and more of {number * 7} ".encode() * 9 for number in range(count)] for kind, count in (("bad", 60), ("good", 2000))]
+    small = quality.dictionaries(texts)
+    size = sum(map(len, texts[0])) // 8
+    assert [abs(len(own) - size) <= size // 4 for own in small] == [True, True]
+    # More bytes to read give larger dictionaries of both classes.
+    assert all(len(a) > len(b) for a, b in zip(small, quality.dictionaries(texts, 12_000)))
+    assert quality.dictionaries([[b"few"], texts[1]]) is None
+    assert quality.train([("a", 0), ("b", 0), ("c", 1), ("d", 1)], 0.5) is None
+
+
+def test_sizes_and_scores_against_plain(spark):
+    docs, labels = tables(spark, FOLDER)
+    docs = docs.where("doc_id < 1500").select("doc_id", "text")
+    sample = labelled_sample(docs, labels, "quality", 4, 2, 3000, 20_000)
+    known = labels.where("quality is not null").collect()
+    learned = [row["quality"] for row in known if zlib.crc32(str(row["doc_id"]).encode()) % 4 != 2]
+    model = quality.train(sample, sum(learned) / len(learned))
+    found = {row["doc_id"]: row for row in score_quality(docs, labels).collect()}
+    for row in docs.collect():
+        wanted = brute.quality((row["text"] or "").encode(), model.good, model.bad, model.centre, model.spread, model.weights)
+        assert abs(found[row["doc_id"]]["score"] - wanted) < 1e-9
+        assert found[row["doc_id"]]["predicted"] == int(found[row["doc_id"]]["score"] >= 0.7)
+
+
+def test_scores_are_maxima_over_windows(spark):
+    docs, labels = tables(spark, FOLDER)
+    model = train(labelled_sample(docs, labels, "toxic", 5, 0, 300, 6_000))
+    texts = ["Some words, some WORDS here.", "", "a b", "ünï cödé word " * 40, "x" * 3000 + " y"]
+    texts += [row["text"] for row in docs.where("doc_id < 60").collect()]
+    for text, score in zip(texts, model.scores(texts)):
+        assert abs(score - brute.toxicity(text, model.weights, model.bias, model.scale, model.shift)) < 1e-6
 
 
 def test_bags():
