@@ -200,9 +200,13 @@ def _routers(rows: DataFrame, level: int, branch: int, dims: int, sample_rows: i
     Vectors are drawn by a hash of their own, so that copies are drawn together
     and count once; a sample exceeds ``sample_rows`` by chance only.
     """
-    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     draw = F.shiftrightunsigned(F.xxhash64("vector", F.lit(level)), 34)
-    drawn = _with(rows, counts, "node").where(draw < F.lit(float(sample_rows << 30)) / F.col("n"))
+    if level:
+        counted = _with(rows, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node")
+    else:
+        # All rows are in one node, which needs no join.
+        counted = rows.withColumn("n", F.lit(max(1, rows.count())))
+    drawn = counted.where(draw < F.lit(float(sample_rows << 30)) / F.col("n"))
     sample = drawn.select("node", "vector").distinct()
 
     def learn(group: pa.Table) -> pa.Table:
