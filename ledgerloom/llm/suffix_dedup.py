@@ -28,6 +28,7 @@ The job never gathers the corpus in one place:
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.llm.common import parts_for, total_bytes
 
@@ -46,6 +48,10 @@ SIDE = LENGTH - TRIGGER
 WIDTH = TRIGGER + 2 * SIDE
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+# A block sends a row to every bucket, so both grow with the root of the corpus, up to this many times.
+MOST_GROWTH = 32
+# What one task of a shuffle reads, about.
+TASK_BYTES = 64 << 20
 # Triggers with more occurrences are hot: their strings are dealt to the buckets one by one.
 ENTRY_LIMIT = 1 << 16
 _STRIDE = 1 << 18
@@ -501,6 +507,16 @@ def _cut(table: pa.Table, replies: pa.Table, buckets: int, with_text: bool) -> p
     return rows.append_column("kept_text", pa.array(texts, pa.string())) if with_text else rows
 
 
+def growth(size: int, block_bytes: int, bucket_bytes: int) -> float:
+    """How many times larger blocks and buckets are than asked for.
+
+    A pair of a block and a bucket costs a row of some hundred bytes. They stay
+    a tenth of the corpus as long as a block times a bucket is a thousand times
+    its size.
+    """
+    return min(MOST_GROWTH, max(1.0, math.sqrt(1000 * size / (block_bytes * bucket_bytes))))
+
+
 def remove_repeats(
     documents: DataFrame,
     id_column: str = "doc_id",
@@ -519,44 +535,52 @@ def remove_repeats(
     whole. Overlapping strings count and are judged on the input, not on what is
     left; matches never cross documents. A null text counts as empty. Ids are
     whole numbers; rows with the same id never remove from each other, a null id
-    counts as larger than any. The strings around a trigger with more than
-    ``entry_limit`` occurrences are compared in all buckets, not in one. Of other columns only those in ``carried`` are
-    read, whatever their names, and handed on under a struct ``carried``.
+    counts as larger than any; an empty table gives no rows. The strings around
+    a trigger with more than ``entry_limit`` occurrences are compared in all
+    buckets, not in one. Of other columns only those in ``carried`` are read,
+    whatever their names, and handed on under a struct ``carried``. Tasks,
+    blocks and buckets are numbered by the bytes there are, see ``growth``.
     """
     chosen = [F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text")]
     if carried:
         chosen.append(F.struct(*[F.col(f"`{name}`") for name in carried]).alias("carried"))
     rows = documents.select(*chosen)
+    spark = documents.sparkSession
     size = total_bytes(rows, "text")
-    blocks, buckets = parts_for(size, block_bytes), parts_for(size, bucket_bytes)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    larger = growth(size, block_bytes, bucket_bytes)
+    blocks, buckets = parts_for(size, block_bytes * larger), parts_for(size, bucket_bytes * larger)
+    # As many tasks as the bytes ask for, whatever the session's number is, so that none grows with the corpus.
+    tasks = parts_for(size, TASK_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(tasks, "block")
     listed = dealt.groupBy("block").applyInArrow(
         lambda table: _list_triggers(table, buckets), "bucket int, block int, triggers binary, several binary, times binary"
     )
-    shared = listed.groupBy("bucket").applyInArrow(
+    shared = listed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(
         lambda table: _shared_triggers(table, entry_limit), "block int, bucket int, shared binary, hot binary"
     )
-    sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
+    sent = dealt.groupBy("block").cogroup(shared.repartition(tasks, "block").groupBy("block")).applyInArrow(
         lambda table, replies: _send_surroundings(table, replies, buckets),
         "bucket int, block int, shared binary, hot binary, sides binary, first binary, strings binary, string_first binary",
     )
-    marked = sent.groupBy("bucket").applyInArrow(
+    marked = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(
         _mark, "block int, bucket int, shared binary, hot binary, marks binary, owned binary"
     )
-    kind = f"carried {rows.schema['carried'].dataType.simpleString()}, " if carried else ""
-    shape = f"id long, {kind}n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    cut = dealt.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(
-        lambda table, replies: _cut(table, replies, buckets, with_text), shape + (", kept_text string" if with_text else "")
+    results = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    # The carried columns keep their own types, null or not.
+    kept = [rows.schema[name] for name in ("id", "carried") if name in rows.columns]
+    shape = StructType([*kept, *StructType.fromDDL(results)])
+    cut = dealt.groupBy("block").cogroup(marked.repartition(tasks, "block").groupBy("block")).applyInArrow(
+        lambda table, replies: _cut(table, replies, buckets, with_text), shape
     )
     return cut.withColumnRenamed("id", id_column)
 
 
-
 def without_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: str = "n_chars", **options) -> DataFrame:
     """All rows and columns of ``documents`` with the repeated strings cut out of their texts.
 
     A character that lost some of its bytes goes as a whole; ``length``, if
     there is such a column, is counted anew; a null text becomes an empty one.
+    An empty table stays empty, null ids are treated as in ``remove_repeats``.
     """
     names = documents.columns
     carried = [name for name in names if name != text]

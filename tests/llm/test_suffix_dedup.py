@@ -106,3 +106,27 @@ def test_texts_keep_whole_characters_and_columns(spark):
     texts = {row["doc_id"]: row for row in result.collect()}
     assert texts[1]["text"] == first and texts[3]["text"] == "" and texts[3]["n_chars"] == 0
     assert texts[2]["block"] == "b" and texts[2]["text"].encode().decode() == texts[2]["text"]
+
+
+def test_rows_between_blocks_and_buckets_stay_few():
+    for size in (10**6, 10**9, 10**11, 10**13):
+        larger = suffix_dedup.growth(size, suffix_dedup.BLOCK_BYTES, suffix_dedup.BUCKET_BYTES)
+        pairs = size / (suffix_dedup.BLOCK_BYTES * larger) * (size / (suffix_dedup.BUCKET_BYTES * larger))
+        assert 1 <= larger <= suffix_dedup.MOST_GROWTH and pairs * 100 <= size / 5
+    assert suffix_dedup.growth(10**9, 4 << 20, 8 << 20) == 1
+
+
+def test_tasks_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", 1000)
+    df = spark.createDataFrame([(number, "word " * 100) for number in range(40)], "doc_id long, text string")
+    text = remove_repeats(df, block_bytes=500, bucket_bytes=500)._jdf.queryExecution().executedPlan().toString()
+    assert text.count(", 20), REPARTITION_BY_NUM") >= 5 and "ENSURE_REQUIREMENTS" not in text
+
+
+def test_repeats_of_odd_tables_are_cut(spark):
+    text = "".join(chr(97 + number * 11 % 26) for number in range(70))
+    df = spark.createDataFrame([(None, text), (3, text), (None, None), (3, text)], "doc_id long, text string")
+    found = without_repeats(brute.with_clashing(df))
+    assert sorted((row["doc_id"] or -1, row["text"]) for row in found.collect()) == [(-1, ""), (-1, ""), (3, text), (3, text)]
+    empty = without_repeats(brute.with_clashing(df.limit(0)))
+    assert empty.collect() == [] and empty.columns == brute.with_clashing(df).columns
