@@ -122,11 +122,13 @@ def contamination(
     """Per row ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``.
 
     ``with_hits`` adds ``hits``: ``start`` (from 1) and ``n`` of the words of
-    each occurrence, and ``items``, the ids. A word is hit if it lies in an occurrence of a benchmark window. ``items``
-    are the ids of items with such windows, as text; items with a null id mark
-    words but are not named. A null or empty text has no words. Rows are kept
-    one for one, ids may repeat or be null, other columns are not read. A
-    benchmark too large for one broadcast is probed part by part.
+    each occurrence, and ``items``, the ids. A word is hit if it lies in an
+    occurrence of a benchmark window. ``items`` are the ids of items with such
+    windows, as text; items with a null id mark words but are not named. A null
+    or empty text has no words. Rows are kept one for one, ids may repeat or be
+    null, other columns are not read. An empty table gives no rows, an empty
+    benchmark no hits. A benchmark too large for one broadcast is probed part by
+    part.
     """
     grams = checkpointed(benchmark_windows(benchmark, item_column, item_text, window), "benchmark-windows")
     entries = grams.agg(F.coalesce(F.sum(F.col("n") + F.size("items")), F.lit(0)).alias("n")).first()["n"]
@@ -236,6 +238,7 @@ def without_contaminated(
     """The rows of ``documents``, all columns, that no benchmark window occurs in.
 
     Rows are matched by id and text hash: rows alike in both share the verdict.
+    An empty table stays empty, an empty benchmark leaves every row.
     """
     key = _key(documents, id_column, text)
     judged = contamination(documents.select(key.alias("key"), text), benchmark, "key", text, **options)

@@ -248,7 +248,8 @@ def near_duplicates(
     in at most ``max_bits`` bits, its own included. Texts without words (null,
     empty) have fingerprint zero and link like others. Rows are kept one for
     one; ids may repeat; a null id is never a component's id unless all ids of
-    the component are null. Other columns are not read.
+    the component are null. An empty table gives no rows; other columns are not
+    read.
     """
     hashed = checkpointed(fingerprints(documents, id_column, text, shingle_words), "fingerprints")
     counted = hashed.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
@@ -277,7 +278,8 @@ def without_near_duplicates(documents: DataFrame, id_column: str = "doc_id", tex
     """One row of each group of near duplicates, all columns: the one with the smallest id.
 
     Rows with the same id are told apart by the hash of their text; of rows
-    alike in both one stays. Null ids count as larger than any.
+    alike in both one stays. Null ids count as larger than any; an empty table
+    stays empty.
     """
     parts = {"missing": F.col(id_column).isNull(), "id": F.col(id_column), "hash": F.xxhash64(text)}
     key = F.struct(*[value.alias(name) for name, value in parts.items()])

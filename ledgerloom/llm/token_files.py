@@ -152,7 +152,7 @@ def write_tokens(
     A null text counts as empty and leaves only its end id; null ids come first,
     rows with the same id in the order of their texts; other columns are not
     read. Segments end at documents, so one longer than ``segment_ids`` has a
-    segment of its own.
+    segment of its own. An empty table leaves files without a segment.
     """
     file = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     ordered = (
@@ -249,7 +249,10 @@ def read_tokens(spark: SparkSession, path: str, id_column: str = "doc_id") -> Da
 
 
 def token_digest(documents: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Write the token files of all documents to the shared folder and read them back."""
+    """Write the token files of all documents to the shared folder and read them back, as ``write_tokens`` orders them.
+
+    An empty table gives no rows.
+    """
     path = scratch_folder(documents.sparkSession, "token-files")
     write_tokens(documents, path, id_column, text, **options)
     return read_tokens(documents.sparkSession, path, id_column)

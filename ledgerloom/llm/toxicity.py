@@ -72,8 +72,8 @@ def _same(codes: np.ndarray, marks: np.ndarray, lengths: np.ndarray, pairs: np.n
 def bags(texts: list[str]) -> Bags:
     """N-grams of the words (runs of letters, digits and non-ASCII characters) of lower-cased texts.
 
-    A word that only repeats the one before it is left out, or a junk text that
-    repeats one word would be judged by that word alone.
+    A word that only repeats the one before it, letter by letter, is left out,
+    or a junk text that repeats one word would be judged by that word alone.
     """
     joined = "".join(" " + text.lower().replace("\x00", " ") + "\x00" for text in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -248,8 +248,8 @@ def score_toxicity(
     most ``max_chars`` characters, never from rows whose crc32(id) mod 5 is 0.
     A null text counts as empty; a text without words has one empty window, so
     all such texts get the same score. Without labels of both classes every
-    score is 0. Rows are kept one for one, ids may repeat or be null, other
-    columns are not read.
+    score is 0. Rows are kept one for one, an empty table gives none, ids may
+    repeat or be null, other columns are not read.
     """
     model = train(labelled_sample(documents, labels, label, 5, 0, per_class, max_chars, id_column, text))
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -284,7 +284,11 @@ def without_toxic(
     max_chars: int = MAX_CHARS,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """The rows of ``documents``, all columns, that score below ``threshold``; learns as ``score_toxicity`` does."""
+    """The rows of ``documents``, all columns, that score below ``threshold``; learns as ``score_toxicity`` does.
+
+    Without labelled texts of both classes every row stays; an empty table stays
+    empty. Null texts count as empty, ids may repeat or be null.
+    """
     model = train(labelled_sample(documents, labels, label, 5, 0, per_class, max_chars, id_column, text))
     if model is None:
         return documents

@@ -1,10 +1,17 @@
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerloom.llm.common import checkpointed, table
 from ledgerloom.llm.queries import CORPUS_QUERIES, CORPUS_SQL
+from ledgerloom.llm.toxicity import without_toxic
 from tests.llm import brute
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,6 +41,37 @@ def test_stages(spark):
     assert Counter(after) == Counter(row for row, verdict in zip(before, judged) if not verdict[-1])
     packed = docs.collect()
     assert {row["doc_id"] for row in packed} == {key for key, _ in after}
+    # Each document's ids, piece after piece, are those the library gives.
+    pieces = defaultdict(list)
+    for row in packed:
+        pieces[row["doc_id"]].append((row["start"], row["length"], row["ids_crc32"]))
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for key, text in after:
+        ids = np.array([*model.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        own = sorted(pieces[key])
+        assert [start for start, _, _ in own] == [0, *np.cumsum([length for _, length, _ in own])[:-1].tolist()]
+        assert [crc for _, _, crc in own] == [zlib.crc32(ids[start : start + length].tobytes()) for start, length, _ in own]
+        assert sum(length for _, length, _ in own) == len(ids)
+
+
+def odd_documents(spark):
+    text = "".join(chr(97 + number * 11 % 26) for number in range(70)) + " and some more words to read here"
+    rows = [(None, text), (3, text), (None, None), (3, text), (4, ""), (5, "x " * 100_000), (6, "漢字 é")]
+    return brute.with_clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_and_empty_tables(spark, name, stage):
+    docs = odd_documents(spark)
+    found = stage(spark, docs, FOLDER)
+    assert found.count() > 0 and (name == "packing" or found.columns == docs.columns)
+    assert stage(spark, docs.limit(0), FOLDER).collect() == []
+
+
+def test_toxicity_needs_both_classes(spark):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    for known in (labels.where("toxic = 0"), labels.limit(0)):
+        assert without_toxic(docs, known).count() == docs.count()
 
 
 def test_run_and_registry(spark):
@@ -41,4 +79,4 @@ def test_run_and_registry(spark):
 
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
     assert contract.queries().keys() >= {"pipeline", *CORPUS_QUERIES} and contract.oracle_sql().keys() >= CORPUS_SQL.keys()
-    assert sorted(int(name[2:].split("_")[0]) for name in CORPUS_QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in CORPUS_QUERIES) == list(range(1, 14))

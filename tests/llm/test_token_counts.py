@@ -35,3 +35,12 @@ def test_rows(spark):
     found = [tuple(row) for row in count_tokens(df, limit=1000, chunk=500, overlap=16).collect()]
     assert sorted(found, key=repr) == sorted(wanted, key=repr)
     assert count_tokens(df.limit(0)).collect() == []
+
+
+def test_long_texts_at_the_registered_setting():
+    draw = random.Random(6)
+    words = lambda count: " ".join("".join(draw.choice(["the", "on", "er", "ï", "ß.", "a"]) for _ in range(3)) for _ in range(count))
+    long = [words(30_000), "漢字かな" * 20_000, "a" * 100_000, words(4000) + " " * 70_000 + words(4000)]
+    counter = PieceCounter(MODEL)
+    assert all(len(text) > 2 * 32_768 for text in long)
+    assert counter.counts(long) == [len(ids) for ids in counter.model.encode(long)]
