@@ -82,7 +82,8 @@ GENERIC_TERMS = (
 
 MAP_SEARCH_URL = "https://www.google.com/maps/search/"
 
-# (?d): only \n ends a line, as $ and . see it here.
+# How fields are written in bank metadata. (?d): only \n ends a
+# line, as $ and . see it here.
 _FIELD = rf"{SPACE}*:{SPACE}*"
 _ADDRESS_FIELDS = rf"(?iud)adres{_FIELD}(.*?){SPACE}*(?:miasto{_FIELD}(.*?))?(?:kraj{_FIELD}.*)?$"
 _STREET_AND_NUMBER = rf"(?<!{WORD}){WORD}++{SPACE}++{WORD}++{SPACE}++\p{{Nd}}"
@@ -168,7 +169,7 @@ def normalise_separators(text: Column) -> Column:
     return _trim_list(F.regexp_replace(text, ", ?,", ","))
 
 
-def clean_location_text(text: Column) -> Column:
+def tidy_location(text: Column) -> Column:
     """Drop the country field and field names, then tidy the separators."""
     country = rf"(?iu)(?<!{SPACE}){SPACE}*+kraj{SPACE}*+:{SPACE}*+[^,]*+"
     domestic = F.when(F.lower(text).contains("kraj"), F.regexp_replace(text, country, "")).otherwise(text)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.location import (
-    clean_location_text,
+    tidy_location,
     first_location,
     map_link,
     restore_diacritics,
@@ -22,7 +22,7 @@ def with_location(df: DataFrame, data: str = "data") -> DataFrame:
     return (
         df.withColumn("_parts", split_parts(F.col(data)))
         .withColumn("_raw", first_location(F.col("_parts")))
-        .withColumn("_tidy", clean_location_text(F.col("_raw")))
+        .withColumn("_tidy", tidy_location(F.col("_raw")))
         .withColumn("extracted_location", restore_diacritics(F.col("_tidy")))
         .withColumn("google_maps_link", map_link(F.col("extracted_location")))
         .drop("_parts", "_raw", "_tidy")

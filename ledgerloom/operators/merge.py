@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.normalise import bookkeeping
@@ -11,13 +11,16 @@ from ledgerloom.operators.normalise import bookkeeping
 def first_per_id(df: DataFrame) -> DataFrame:
     """One row per ``txn_id``: the one from the earliest import and position.
 
-    An aggregate rather than a window, so that copies of one id are combined
-    before the shuffle however often it was imported.
+    Rows are shuffled and sorted once, by the id, which is the order that a join
+    on the id wants as well. Within an import no id repeats, so an id has at
+    most as many copies as there are imports.
     """
     others = [name for name in df.columns if name != "txn_id"]
-    rank = F.struct(*(bookkeeping(df) or others))
-    picked = df.groupBy("txn_id").agg(F.min_by(F.struct(*others), rank).alias("row"))
-    return picked.select("txn_id", *[F.col("row").getField(name).alias(name) for name in others]).select(*df.columns)
+    first = Window.partitionBy("txn_id").orderBy(*(bookkeeping(df) or others))
+    # A lag rather than a row number: the limit that Spark derives from the
+    # latter sorts whole rows before the shuffle too.
+    marked = df.withColumn("_earlier", F.lag(F.lit(True)).over(first))
+    return marked.where(F.col("_earlier").isNull()).drop("_earlier")
 
 
 def new_rows(imported: DataFrame, ledger: DataFrame) -> DataFrame:

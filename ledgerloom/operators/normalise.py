@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The columns of a bank export by position, and of normalised rows.
 RAW_COLUMNS = [
     "booking_date",
     "value_date",

@@ -115,7 +115,7 @@ def test_diacritics(spark):
     assert [row.r for row in found] == list(cases.values())
 
 
-def test_clean_location_text(spark):
+def test_tidy_location(spark):
     cases = {
         "adres : ul. X miasto : Y kraj : Z, rest": "ul. X Y, rest",
         "a  :  b": "a, b",
@@ -124,7 +124,7 @@ def test_clean_location_text(spark):
         "ADRES: x": "ADRES, x",
     }
     rows = spark.createDataFrame([(number, text) for number, text in enumerate(cases)], "n int, t string")
-    found = rows.select("n", L.clean_location_text(F.col("t")).alias("r")).orderBy("n").collect()
+    found = rows.select("n", L.tidy_location(F.col("t")).alias("r")).orderBy("n").collect()
     assert [row.r for row in found] == list(cases.values())
 
 
