@@ -7,6 +7,7 @@ import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 import zstandard
 
@@ -85,6 +86,13 @@ def groups(values, linked):
     return group
 
 
+def hash_pairs(keys):
+    """The two 64-bit hashes of each key that a filter takes its places from."""
+    data = [key.encode() for key in keys]
+    pairs = [(xxhash.xxh64_intdigest(key, 42), xxhash.xxh64_intdigest(key + b"#", 42)) for key in data]
+    return np.array(pairs, np.uint64).reshape(-1, 2)
+
+
 def url_verdict(url, rules):
     """host, path, rule, verdict; ``rules`` maps (host, path) to a verdict."""
     host = path = ""
