@@ -21,9 +21,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def checkpointed(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that its lineage ends."""
+    return written(df, purpose)[1]
+
+
+def written(df: DataFrame, purpose: str) -> tuple[str, DataFrame]:
+    """As ``checkpointed``, with the path, for tables that are to be removed again."""
     path = scratch_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of ``written`` that nothing reads any more; later tables must have been written themselves."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def total_bytes(df: DataFrame, column: str) -> int:

@@ -152,23 +152,23 @@ def _links(lists: DataFrame, shared: int, max_bits: int) -> DataFrame:
     sorted_lists = lists.repartition("positions", "bytes").sortWithinPartitions("positions", "bytes", "fp")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, missing = [], 0
         for batch in batches:
-            own = [batch.column(place).to_numpy(zero_copy_only=False) for place in range(4)]
-            if held is not None:
-                own = [np.concatenate(pair) for pair in zip(held, own)]
+            held.append([batch.column(place).to_numpy(zero_copy_only=False) for place in range(4)])
+            missing -= batch.num_rows
+            # A list that goes on beyond this batch is put together once, when its last row is here.
+            if missing > 0 or not batch.num_rows:
+                continue
+            own = [np.concatenate(parts) for parts in zip(*held)]
             positions, masked, _, sizes = own
             begins = np.concatenate(([True], (positions[1:] != positions[:-1]) | (masked[1:] != masked[:-1])))
-            last = int(np.flatnonzero(begins)[-1]) if len(begins) else 0
-            # The last list is whole only when all its rows are here.
-            if len(positions) and len(positions) - last < sizes[last]:
-                held, own = [part[last:] for part in own], [part[:last] for part in own]
-            else:
-                held = None
+            last = int(np.flatnonzero(begins)[-1])
+            missing = last + int(sizes[last]) - len(positions)
+            held, own = ([[part[last:] for part in own]], [part[:last] for part in own]) if missing > 0 else ([], own)
             if len(own[0]):
                 yield _verified(own, shared, max_bits)
-        if held is not None:
-            raise RuntimeError(f"a list of {held[3][0]} fingerprints is not whole: {len(held[0])} came")
+        if missing > 0:
+            raise RuntimeError(f"a list of fingerprints is not whole: {missing} did not come")
 
     return sorted_lists.select("positions", "bytes", "fp", "size").mapInArrow(verify, "a long, b long").distinct()
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -82,6 +83,27 @@ def test_a_list_that_is_not_whole_fails(spark):
         simhash._links(rows, 5, 3).collect()
 
 
+def test_lists_over_many_batches(spark):
+    values = np.unique(np.random.default_rng(4).integers(0, 1 << 20, 400)) << 24
+    df = spark.createDataFrame([(value,) for value in values.tolist()], "fp long")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    found = []
+    for rows in ("3", "50", before):
+        spark.conf.set(batch, rows)
+        found.append({tuple(row) for row in fingerprint_links(df).collect()})
+    spark.conf.set(batch, before)
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_rounds_are_removed(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    tables = lambda: {path.name for path in root.glob("*") if path.name.startswith(("links-", "roots-"))}
+    before = tables()
+    found = components(spark.createDataFrame([(number, number + 1) for number in range(20)], "a long, b long"))
+    assert found.count() == 21 and len(tables() - before) == 1
+
+
 def test_probes_find_what_tiles_find():
     draw = np.random.default_rng(2)
     values = np.unique(draw.integers(0, 1 << 14, 3000).astype(np.uint64) << np.uint64(40) | np.uint64(0x77))
