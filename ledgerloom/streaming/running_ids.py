@@ -4,15 +4,24 @@ A window cannot number rows across micro-batches, so the number of rows seen of
 each content is kept as keyed state. The state lives in RocksDB, outside the
 executors' heaps, and is part of the checkpoint: a restarted stream counts on
 where it stopped.
+
+Every call to the state is a round trip between Python and the JVM, and every
+row that a stateful operator hands to Python is built one by one. So rows travel
+in packs, and contents are kept in slots of about a thousand: the number of
+calls follows the slots, not the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ledgerloom.operators.ids import KEY, digest, keyed
@@ -22,6 +31,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 BUCKETS = 1024
 COLLISIONS = "collisions"
+# Rows that a task gathers before it packs them by bucket, and about how many bytes of them.
+PACK_ROWS = 1 << 16
+PACK_BYTES = 32 << 20
+# A slot with more contents than this has its bucket cut into more slots.
+SLOT_ENTRIES = 1024
+MOST_BITS = 30
+# What a slot keeps of a content: its SHA-256, its rows so far and when it last came.
+ENTRY = np.dtype([("content", "<u8", 4), ("n", "<i8"), ("at", "<i8")])
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -29,60 +46,176 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(PROVIDER, ROCKSDB)
 
 
+def _runs(content: np.ndarray) -> np.ndarray:
+    """Where each distinct content begins in sorted ones."""
+    fresh = np.ones(len(content), bool)
+    fresh[1:] = (content[1:] != content[:-1]).any(axis=1)
+    return np.flatnonzero(fresh)
+
+
+def _merged(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contents in order with the sums of their rows, and per entry the rows of those before it."""
+    words = entries["content"]
+    order = np.lexsort([words[:, place] for place in (3, 2, 1, 0)])
+    ordered = entries[order]
+    begins = _runs(ordered["content"])
+    whole = ordered[begins]
+    if len(begins):
+        whole["n"] = np.add.reduceat(ordered["n"], begins)
+        whole["at"] = np.maximum.reduceat(ordered["at"], begins)
+    earlier = np.cumsum(ordered["n"]) - ordered["n"]
+    before = np.empty(len(entries), np.int64)
+    before[order] = earlier - np.repeat(earlier[begins], np.diff(np.append(begins, len(ordered))))
+    return whole, before
+
+
+def _slots(entries: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of each entry: the first bits of its content."""
+    return (entries["content"][:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(entries), np.int64)
+
+
 class RunningCount(StatefulProcessor):
     """Numbers the rows of each content from where the last micro-batch left off.
 
-    Contents are grouped into buckets, so that one call handles many of them;
-    each content has its own entry in the bucket's state.
+    Contents are grouped into buckets, so that one call handles many of them. A
+    bucket keeps its contents in ``2**bits`` slots, one state entry each; when a
+    slot has grown beyond ``slot_entries`` the bucket is dealt to more slots, so
+    a micro-batch reads and writes a bounded part of the state per content.
     """
 
-    def __init__(self, order: str, content: str, days: int | None = None):
-        self.order, self.content, self.days = order, content, days
+    def __init__(self, days: int | None = None, slot_entries: int = SLOT_ENTRIES):
+        self.kept = None if days is None else days * 86_400_000
+        self.slot_entries = slot_entries
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        kept = None if self.days is None else self.days * 86_400_000
-        self.counts = handle.getMapState("counts", "content binary", "n bigint", kept)
+        self.bits = handle.getValueState("bits", "n int")
+        self.counts = handle.getMapState("counts", "slot int", "entries binary", self.kept)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        content = batch[self.content].map(bytes)
-        seen = content.groupby(content, sort=False).size()
-        before = {own: self.counts.getValue((own,)) for own in seen.index}
-        before = {own: value[0] if value else 0 for own, value in before.items()}
-        batch["occurrence"] = content.groupby(content, sort=False).cumcount() + content.map(before)
-        for own, count in seen.items():
-            self.counts.updateValue((own,), (before[own] + int(count),))
-        yield batch.drop(columns=["bucket", self.content])
+        packs = [_unpacked(pack) for frame in rows for pack in frame["packed"]]
+        table = pa.Table.from_batches([batch.select(["content", "order"]) for batch in packs])
+        placed = pc.sort_indices(table, sort_keys=[("content", "ascending"), ("order", "ascending")]).to_numpy()
+        own = table.column("content").combine_chunks().cast(pa.binary(32))
+        content = np.frombuffer(own.buffers()[1], ENTRY["content"].base).reshape(-1, 4)[placed]
+        begins = _runs(content)
+        sizes = np.diff(np.append(begins, len(content)))
+        now = 0 if self.kept is None else timer_values.getCurrentProcessingTimeInMs()
+        fresh = np.zeros(len(begins), ENTRY)
+        fresh["content"], fresh["n"], fresh["at"] = content[begins], sizes, now
+        before = self._counted_on(fresh, now)
+        occurrence = np.empty(len(content), np.int64)
+        occurrence[placed] = np.arange(len(content)) + np.repeat(before - begins, sizes)
+        start = 0
+        for batch in packs:
+            numbers = pa.array(occurrence[start : start + batch.num_rows])
+            start += batch.num_rows
+            counted = batch.drop_columns(["content", "order"]).append_column("occurrence", numbers)
+            yield pd.DataFrame({"packed": [_packed(counted)]})
+
+    def _counted_on(self, fresh: np.ndarray, now: int) -> np.ndarray:
+        """Adds distinct sorted contents to the state; returns how often each came before."""
+        known = self.bits.get()
+        bits = 0 if known is None else int(known[0])
+        touched = np.unique(_slots(fresh, bits)).tolist()
+        stored = [self.counts.getValue((slot,)) for slot in touched]
+        held = self._living([value[0] for value in stored if value is not None], now)
+        whole, before = _merged(np.concatenate([held, fresh]))
+        largest = int(np.bincount(np.searchsorted(touched, _slots(whole, bits))).max())
+        if largest > self.slot_entries and bits < MOST_BITS:
+            # All other slots are dealt anew with these; as slots at least double, this is rare.
+            mine = set(touched)
+            others = [value[0] for slot, value in self.counts.iterator() if slot[0] not in mine]
+            bits = min(MOST_BITS, bits + (2 * largest // self.slot_entries).bit_length())
+            whole = np.concatenate([whole, self._living(others, now)])
+            whole = whole[np.argsort(_slots(whole, bits), kind="stable")]
+            self.counts.clear()
+            self.bits.update((bits,))
+        slots = _slots(whole, bits)
+        cuts = np.flatnonzero(np.diff(slots, prepend=-1))
+        for start, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(slots)]):
+            self.counts.updateValue((int(slots[start]),), (whole[start:stop].tobytes(),))
+        return before[len(held) :]
+
+    def _living(self, stored: list[bytes], now: int) -> np.ndarray:
+        """The entries of some slots without those that were not touched for too long."""
+        entries = np.frombuffer(b"".join(map(bytes, stored)), ENTRY)
+        return entries if self.kept is None else entries[entries["at"] + self.kept > now]
 
     def close(self) -> None:
         pass
 
 
-def running_occurrence(rows: DataFrame, buckets: int = BUCKETS, days: int | None = None) -> DataFrame:
-    """A stream of keyed rows (``operators.ids.keyed``) with their ``occurrence``.
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(pack: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(pack) as reader:
+        return reader.read_next_batch()
+
+
+def pack_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``bucket`` and ``packed``: rows of a task by bucket; the bucket is the last column."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= PACK_ROWS or size >= PACK_BYTES:
+            yield _by_bucket(held)
+            held, rows, size = [], 0, 0
+    if rows:
+        yield _by_bucket(held)
+
+
+def _by_bucket(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held)
+    buckets = table.column("bucket").to_numpy()
+    order = np.argsort(buckets, kind="stable")
+    ordered = buckets[order]
+    cuts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    rows = table.drop_columns(["bucket"]).take(pa.array(order)).combine_chunks().to_batches()[0]
+    stops = np.append(cuts[1:], len(ordered))
+    packs = [_packed(rows.slice(start, stop - start)) for start, stop in zip(cuts.tolist(), stops.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(ordered[cuts], pa.int32()), pa.array(packs, pa.binary())], ["bucket", "packed"])
+
+
+def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (_unpacked(pack.as_py()) for pack in batch.column(0))
+
+
+def running_occurrence(
+    rows: DataFrame, buckets: int = BUCKETS, days: int | None = None, slot_entries: int = SLOT_ENTRIES
+) -> DataFrame:
+    """A stream of keyed rows (``operators.ids.keyed``) without the parts of their id, with their ``occurrence``.
 
     Equal to the batch count of all rows up to and including the micro-batch, if
     the ``_ingest_order`` grows from one micro-batch to the next. A restart on
-    the same checkpoint continues the count. There is one state entry per
-    content; ``days`` drops entries that were not touched for so long, after
-    which a content counts from 0 again. One task holds the rows of a bucket of
-    one micro-batch, so the source's limit per micro-batch bounds its memory.
+    the same checkpoint continues the count. The state has 48 bytes per content;
+    ``days`` drops contents that were not touched for so long, after which a
+    content counts from 0 again. One task holds the rows of a bucket of one
+    micro-batch, so the source's limit per micro-batch bounds its memory.
     """
     use_rocksdb(rows.sparkSession)
     # The length keeps an import's name apart from the parts of the key.
     group = F.concat_ws(":", F.coalesce(F.length("_group"), F.lit(-1)).cast("string"), F.col("_group"))
     content = F.unhex(F.sha2(F.concat_ws("|", group, *[F.col(name).cast("string") for name in KEY]), 256))
-    narrow = rows.withColumn("_content", content).drop("_crowd", "_hash", "_value", "_order", "_group")
-    # On the way to Python, names that begin with an underscore would be lost.
-    names = [f"c{place}" for place in range(len(narrow.columns))]
-    bucket = F.pmod(F.xxhash64(names[-1]), F.lit(buckets)).cast("int").alias("bucket")
-    placed = narrow.toDF(*names).select("*", bucket)
-    kept = ", ".join(f"{name} {field.dataType.simpleString()}" for name, field in zip(names[:-1], narrow.schema))
-    counter = RunningCount(names[narrow.columns.index(INGEST_ORDER)], names[-1], days)
-    counted = placed.groupBy("bucket").transformWithStateInPandas(
-        counter, f"{kept}, occurrence bigint", "append", "none" if days is None else "processingTime"
+    parts = {*KEY, "_crowd", "_hash", "_value", "_order", "_group"}
+    kept = [name for name in rows.columns if name not in parts]
+    # Own names by place, apart from those the packs add.
+    names = [f"c{place}" for place in range(len(kept))]
+    own = [F.col(f"`{name}`").alias(place) for name, place in zip(kept, names)]
+    narrow = rows.select(*own, F.col(INGEST_ORDER).alias("order"), content.alias("content"))
+    placed = narrow.withColumn("bucket", F.pmod(F.xxhash64("content"), F.lit(buckets)).cast("int"))
+    packed = placed.mapInArrow(pack_by_bucket, "bucket int, packed binary")
+    counted = packed.groupBy("bucket").transformWithStateInPandas(
+        RunningCount(days, slot_entries), "packed binary", "append", "none" if days is None else "processingTime"
     )
-    return counted.toDF(*narrow.columns[:-1], "occurrence")
+    shape = T.StructType([T.StructField(place, narrow.schema[place].dataType) for place in names])
+    return counted.mapInArrow(unpack, shape.add("occurrence", T.LongType())).toDF(*kept, "occurrence")
 
 
 def stream_occurrence(frames: DataFrame, buckets: int = BUCKETS, days: int | None = None) -> DataFrame:
@@ -96,7 +229,8 @@ def stream_txn_ids(frames: DataFrame, buckets: int = BUCKETS, days: int | None =
     Every micro-batch reports ``repeated_rows`` and ``rows`` as the observed
     metric ``collisions``; see ``collisions_of``.
     """
-    counted = _counted(frames, buckets, days)
+    # The parts of the id are computed again, which is cheaper than to send them along.
+    counted = keyed(_counted(frames, buckets, days))
     parts = [F.col(name).cast("string") for name in [*KEY, "occurrence"]]
     repeated = F.count_if(F.col("occurrence") > 0).alias("repeated_rows")
     observed = counted.observe(COLLISIONS, repeated, F.count(F.lit(1)).alias("rows"))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import datetime
+import random
+from decimal import Decimal
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from ledgerloom.operators import ids
 from ledgerloom.operators.merge import append_bucketed, bucketed_new_rows, merge_bucketed, merge_import, open_bucketed_ledger
 from ledgerloom.operators.normalise import IMPORT_ID, INGEST_ORDER
 from ledgerloom.streaming.late_copies import without_late_copies
-from ledgerloom.streaming.running_ids import collisions_of, stream_occurrence, stream_txn_ids
+from ledgerloom.streaming import running_ids
+from ledgerloom.streaming.running_ids import collisions_of, running_occurrence, stream_occurrence, stream_txn_ids
 from tests.test_plans import nodes, plan
 
 ROWS = f"booking_date string, amount string, data string, {IMPORT_ID} string, {INGEST_ORDER} long"
@@ -56,6 +61,126 @@ def test_streamed_ids_equal_batch_ids(spark, tmp_path):
     assert [collisions_of(query) for query in queries] == [(1, 3), (2, 2)]
 
 
+class State:
+    """State of one bucket in memory, which counts the calls."""
+
+    def __init__(self):
+        self.value, self.slots, self.calls = None, {}, 0
+
+    def getValueState(self, name, schema, ttl=None):
+        return self
+
+    def getMapState(self, name, key, value, ttl=None):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getValue(self, slot):
+        self.calls += 1
+        return self.slots.get(slot)
+
+    def updateValue(self, slot, value):
+        self.calls += 1
+        self.slots[slot] = value
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.slots.items()))
+
+    def clear(self):
+        self.calls += 1
+        self.slots.clear()
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def number(state, contents, now=0, **options):
+    """Occurrences that one micro-batch of a bucket gets, in two packs."""
+    counter = running_ids.RunningCount(**options)
+    counter.init(state)
+    digests = [content.to_bytes(8, "big") * 4 for content in contents]
+    places = list(range(len(contents)))
+    half = len(contents) // 2
+    packs = [
+        running_ids._packed(pa.record_batch({"c0": places[part], "order": places[part], "content": pa.array(digests[part], pa.binary())}))
+        for part in (slice(half), slice(half, None)) if places[part]
+    ]
+    done = counter.handleInputRows((0,), iter([pd.DataFrame({"packed": packs})]), Clock(now))
+    rows = [row for frame in done for pack in frame["packed"] for row in running_ids._unpacked(pack).to_pylist()]
+    assert [row["c0"] for row in rows] == places
+    return [row["occurrence"] for row in rows]
+
+
+def test_calls_to_the_state_follow_the_slots_not_the_rows():
+    draw, state, seen = random.Random(3), State(), {}
+    for _ in range(3):
+        contents = [draw.getrandbits(64) if draw.random() < 0.7 else draw.randrange(5) << 61 for _ in range(20_000)]
+        wanted = []
+        for content in contents:
+            wanted.append(seen.get(content, 0))
+            seen[content] = wanted[-1] + 1
+        state.calls = 0
+        assert number(state, contents) == wanted
+        # One or two for each of at most some hundred slots, not for each of 14,000 contents.
+        assert state.calls < 500
+    sizes = [len(value[0]) // running_ids.ENTRY.itemsize for value in state.slots.values()]
+    assert sum(sizes) == len(seen) and max(sizes) <= 2 * running_ids.SLOT_ENTRIES
+    # Few rows touch few slots.
+    state.calls = 0
+    assert number(state, [0, 0]) == [seen[0], seen[0] + 1] and state.calls <= 4
+
+
+def test_contents_not_touched_for_days_count_from_zero():
+    state, day_ms = State(), 86_400_000
+    assert number(state, [1, 2, 1], 0, days=2) == [0, 0, 1]
+    assert number(state, [1], day_ms, days=2) == [2]
+    # The slot was touched since, the content 2 was not.
+    assert number(state, [1, 2], 2 * day_ms, days=2) == [3, 0]
+
+
+def test_slots_are_dealt_anew_in_a_stream(spark, tmp_path):
+    draw = random.Random(5)
+    batches = [[row(100 * batch + place, f"text {draw.randrange(60)}") for place in range(100)] for batch in range(4)]
+    counted, queries = feed(
+        spark, tmp_path, ROWS, batches, lambda frames: running_occurrence(ids.keyed(frames), 2, slot_entries=4)
+    )
+    wanted = ids.with_occurrence(spark.createDataFrame([each for batch in batches for each in batch], ROWS))
+    assert sorted(map(str, counted.collect())) == sorted(map(str, wanted.collect()))
+    # The state has slots, and for each of the two buckets the number of them, not an entry for each content.
+    assert queries[-1].lastProgress["stateOperators"][0]["numRowsTotal"] >= 2
+
+
+def test_rows_travel_in_packs(spark, tmp_path):
+    rows = [row(place, f"text {place}") for place in range(3000)]
+    _, queries = feed(spark, tmp_path, ROWS, [rows], lambda frames: stream_occurrence(frames, buckets=4))
+    state = queries[0].lastProgress["stateOperators"][0]
+    # One state entry per content, and as many updates, before.
+    assert state["numRowsTotal"] < 100 and state["numRowsUpdated"] < 100
+
+
+def test_streams_carry_columns_of_any_type(spark, tmp_path):
+    schema = ROWS + ", size int, share double, at timestamp, tags array<string>, fine decimal(20,3), raw binary, part struct<x: int, y: string>"
+    some = (None, None, datetime.datetime(2025, 1, 1, 1, 2, 3, 456789), ["a", None], None, b"\x00\xff", (1, None))
+    more = (7, float("nan"), None, [], Decimal("5.125"), None, None)
+    batches = [[row(1) + some, row(2) + more], [row(3, "tea") + more, row(4) + some]]
+    counted, _ = feed(spark, tmp_path, schema, batches, lambda frames: stream_occurrence(frames, buckets=4))
+    wanted = ids.with_occurrence(spark.createDataFrame([each for batch in batches for each in batch], schema))
+    assert counted.dtypes == wanted.dtypes
+    assert sorted(map(str, counted.collect())) == sorted(map(str, wanted.collect()))
+
+
 def test_streams_need_an_order(spark, tmp_path):
     spark.createDataFrame([row(1)], ROWS).drop(INGEST_ORDER).write.parquet(str(tmp_path / "s"))
     frames = spark.readStream.schema(spark.read.parquet(str(tmp_path / "s")).schema).parquet(str(tmp_path / "s"))
