@@ -243,3 +243,13 @@ def test_one_narrow_pass_finds_crowds(spark, tmp_path):
     identified.collect()
     final = plan(identified).split("== Initial Plan ==")[0]
     assert final.count("approx_top_k_accumulate") <= 2 and "count(1)" not in final
+
+
+def test_ids_of_many_contents_need_few_state_entries(spark, tmp_path):
+    batches = [[row(place, f"text {place % 1500}") for place in range(start, start + 1000)] for start in (0, 1000)]
+    identified, queries = feed(spark, tmp_path, ROWS, batches, lambda frames: stream_txn_ids(frames, buckets=4))
+    wanted = ids.assign_txn_ids(spark.createDataFrame([each for batch in batches for each in batch], ROWS))
+    assert sorted(map(str, identified.collect())) == sorted(map(str, wanted.collect()))
+    assert [collisions_of(query) for query in queries] == [(0, 1000), (500, 1000)]
+    # One state entry per content before: 1,500.
+    assert all(query.lastProgress["stateOperators"][0]["numRowsTotal"] < 100 for query in queries)
