@@ -44,7 +44,7 @@ from ledgerloom.streaming.drop_folder import import_frames
 from ledgerloom.streaming.late_copies import without_late_copies
 from ledgerloom.streaming.running_ids import collisions_of, stream_occurrence, stream_txn_ids
 
-# Buckets of the small ledgers and streams of these queries.
+# Buckets of the small ledgers and streams of these queries, and the fewest state partitions of a stream.
 LEDGER_BUCKETS = 16
 STREAM_BUCKETS = 32
 STREAM_PARTITIONS = 4
@@ -290,15 +290,19 @@ def _in_drops(
 ) -> tuple[DataFrame, list[StreamingQuery]]:
     """Rows written in drops and streamed, one micro-batch and one start of the stream for each drop.
 
-    The streams run in a session of their own with few state partitions, as
-    every micro-batch opens and commits each of them.
+    The streams run in a session of their own with a state partition per core:
+    every micro-batch opens and commits each of them. Rows are dealt out before
+    they are written, so that every drop lies in as many files as there are cores,
+    not in the few that hold its part of the table.
     """
     spark = rows.sparkSession
+    tasks = max(STREAM_PARTITIONS, spark.sparkContext.defaultParallelism)
     session = configure(spark.newSession())
-    session.conf.set("spark.sql.shuffle.partitions", str(STREAM_PARTITIONS))
+    session.conf.set("spark.sql.shuffle.partitions", str(tasks))
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     source, target = scratch_folder(spark, "drops"), scratch_folder(spark, "streamed")
-    rows.withColumn("drop", number).write.partitionBy("drop").parquet(f"{source}/all")
+    dealt = rows.withColumn("drop", number).repartition(tasks, *rows.columns)
+    dealt.write.partitionBy("drop").parquet(f"{source}/all")
     done = []
     for drop in range(drops):
         part = spark.read.parquet(f"{source}/all").where(F.col("drop") == drop).drop("drop")

@@ -8,7 +8,9 @@ where it stopped.
 Every call to the state is a round trip between Python and the JVM, and every
 row that a stateful operator hands to Python is built one by one. So rows travel
 in packs, and contents are kept in slots of about a thousand: the number of
-calls follows the slots, not the rows.
+calls follows the slots, not the rows. One bucket may hold a large share of all
+rows (a monthly fee), so the tasks of the state only number rows: counted packs
+are dealt out again, and all cores make of them what follows.
 """
 
 from __future__ import annotations
@@ -69,6 +71,11 @@ def _merged(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return whole, before
 
 
+def _coded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Content and order of rows, each content once and the rows as numbers of it."""
+    return batch.set_column(0, "content", batch.column("content").dictionary_encode())
+
+
 def _slots(entries: np.ndarray, bits: int) -> np.ndarray:
     """The slot of each entry: the first bits of its content."""
     return (entries["content"][:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(entries), np.int64)
@@ -92,28 +99,33 @@ class RunningCount(StatefulProcessor):
         self.counts = handle.getMapState("counts", "slot int", "entries binary", self.kept)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        packs = [_unpacked(pack) for frame in rows for pack in frame["packed"]]
-        table = pa.Table.from_batches([batch.select(["content", "order"]) for batch in packs])
-        placed = pc.sort_indices(table, sort_keys=[("content", "ascending"), ("order", "ascending")]).to_numpy()
-        own = table.column("content").combine_chunks().cast(pa.binary(32))
-        content = np.frombuffer(own.buffers()[1], ENTRY["content"].base).reshape(-1, 4)[placed]
-        begins = _runs(content)
-        sizes = np.diff(np.append(begins, len(content)))
+        # Packs stay compressed; only what numbers their rows is unpacked for all of them at once.
+        packs = [pack for frame in rows for pack in frame["packed"]]
+        coded = [_coded(_unpacked(pack, ["content", "order"])) for pack in packs]
+        table = pa.Table.from_batches(coded).unify_dictionaries().combine_chunks()
+        codes, contents = table.column("content").chunk(0).indices, table.column("content").chunk(0).dictionary
+        words = np.frombuffer(contents.cast(pa.binary(32)).buffers()[1], ENTRY["content"].base)
+        content = words.reshape(-1, 4)[: len(contents)]
+        keys = table.set_column(0, "content", codes)
+        placed = pc.sort_indices(keys, sort_keys=[("content", "ascending"), ("order", "ascending")]).to_numpy()
+        sizes = np.bincount(codes.to_numpy(), minlength=len(content))
+        begins = np.cumsum(sizes) - sizes
         now = 0 if self.kept is None else timer_values.getCurrentProcessingTimeInMs()
-        fresh = np.zeros(len(begins), ENTRY)
-        fresh["content"], fresh["n"], fresh["at"] = content[begins], sizes, now
+        fresh = np.zeros(len(content), ENTRY)
+        fresh["content"], fresh["n"], fresh["at"] = content, sizes, now
         before = self._counted_on(fresh, now)
-        occurrence = np.empty(len(content), np.int64)
-        occurrence[placed] = np.arange(len(content)) + np.repeat(before - begins, sizes)
+        occurrence = np.empty(len(placed), np.int64)
+        occurrence[placed] = np.arange(len(placed)) + np.repeat(before - begins, sizes)
         start = 0
-        for batch in packs:
+        for pack in packs:
+            batch = _unpacked(pack)
             numbers = pa.array(occurrence[start : start + batch.num_rows])
             start += batch.num_rows
             counted = batch.drop_columns(["content", "order"]).append_column("occurrence", numbers)
             yield pd.DataFrame({"packed": [_packed(counted)]})
 
     def _counted_on(self, fresh: np.ndarray, now: int) -> np.ndarray:
-        """Adds distinct sorted contents to the state; returns how often each came before."""
+        """Adds distinct contents to the state; returns how often each came before."""
         known = self.bits.get()
         bits = 0 if known is None else int(known[0])
         touched = np.unique(_slots(fresh, bits)).tolist()
@@ -152,9 +164,15 @@ def _packed(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(pack: bytes) -> pa.RecordBatch:
-    with pa.ipc.open_stream(pack) as reader:
-        return reader.read_next_batch()
+def _unpacked(pack: bytes, names: list[str] | None = None) -> pa.RecordBatch:
+    """The rows of a pack, or only some of their columns."""
+    options = pa.ipc.IpcReadOptions()
+    if names is not None:
+        with pa.ipc.open_stream(pack) as reader:
+            options.included_fields = [reader.schema.get_field_index(name) for name in names]
+    with pa.ipc.open_stream(pack, options=options) as reader:
+        batch = reader.read_next_batch()
+    return batch if names is None else batch.select(names)
 
 
 def pack_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +214,14 @@ def running_occurrence(
     the ``_ingest_order`` grows from one micro-batch to the next. A restart on
     the same checkpoint continues the count. The state has 48 bytes per content;
     ``days`` drops contents that were not touched for so long, after which a
-    content counts from 0 again. One task holds the rows of a bucket of one
-    micro-batch, so the source's limit per micro-batch bounds its memory.
+    content counts from 0 again. One task holds the packed rows of a bucket of
+    one micro-batch, a few numbers of each and its distinct contents, so the
+    source's limit per micro-batch bounds its memory. What follows the count runs
+    in as many tasks as the session shuffles into, and at least one per core,
+    whatever the buckets hold.
     """
-    use_rocksdb(rows.sparkSession)
+    spark = rows.sparkSession
+    use_rocksdb(spark)
     # The length keeps an import's name apart from the parts of the key.
     group = F.concat_ws(":", F.coalesce(F.length("_group"), F.lit(-1)).cast("string"), F.col("_group"))
     content = F.unhex(F.sha2(F.concat_ws("|", group, *[F.col(name).cast("string") for name in KEY]), 256))
@@ -214,8 +236,10 @@ def running_occurrence(
     counted = packed.groupBy("bucket").transformWithStateInPandas(
         RunningCount(days, slot_entries), "packed binary", "append", "none" if days is None else "processingTime"
     )
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = counted.repartition(tasks)
     shape = T.StructType([T.StructField(place, narrow.schema[place].dataType) for place in names])
-    return counted.mapInArrow(unpack, shape.add("occurrence", T.LongType())).toDF(*kept, "occurrence")
+    return dealt.mapInArrow(unpack, shape.add("occurrence", T.LongType())).toDF(*kept, "occurrence")
 
 
 def stream_occurrence(frames: DataFrame, buckets: int = BUCKETS, days: int | None = None) -> DataFrame:

@@ -9,10 +9,12 @@ from decimal import Decimal
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import ids
 from ledgerloom.operators.merge import append_bucketed, bucketed_new_rows, merge_bucketed, merge_import, open_bucketed_ledger
 from ledgerloom.operators.normalise import IMPORT_ID, INGEST_ORDER
+from ledgerloom.plans import catalogue
 from ledgerloom.streaming.late_copies import without_late_copies
 from ledgerloom.streaming import running_ids
 from ledgerloom.streaming.running_ids import collisions_of, running_occurrence, stream_occurrence, stream_txn_ids
@@ -253,3 +255,29 @@ def test_ids_of_many_contents_need_few_state_entries(spark, tmp_path):
     assert [collisions_of(query) for query in queries] == [(0, 1000), (500, 1000)]
     # One state entry per content before: 1,500.
     assert all(query.lastProgress["stateOperators"][0]["numRowsTotal"] < 100 for query in queries)
+
+
+def files_of(rows):
+    return {each["file"] for each in rows.select(F.input_file_name().alias("file")).collect()}
+
+
+def test_rows_of_one_bucket_are_dealt_out_after_the_count(spark, tmp_path):
+    rows = [row(place) for place in range(2000)]
+    identified, _ = feed(spark, tmp_path, ROWS, [rows], lambda frames: stream_txn_ids(frames, buckets=1))
+    wanted = ids.assign_txn_ids(spark.createDataFrame(rows, ROWS))
+    assert sorted(map(str, identified.collect())) == sorted(map(str, wanted.collect()))
+    # The one task that counts the bucket made and wrote all ids before.
+    assert len(files_of(identified)) > 1
+
+
+def test_drops_and_state_are_spread_over_the_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "scratch_folder", lambda _, purpose: str(tmp_path / purpose))
+    rows = spark.createDataFrame([row(place, f"text {place % 50}") for place in range(300)], ROWS).coalesce(1)
+    third = F.floor(F.col(INGEST_ORDER) / 100).cast("int")
+    counted, streams = catalogue._in_drops(rows, third, 3, lambda frames: stream_occurrence(frames, 4))
+    wanted = ids.with_occurrence(rows)
+    assert sorted(map(str, counted.collect())) == sorted(map(str, wanted.collect()))
+    cores = spark.sparkContext.defaultParallelism
+    # One file of each drop and four state partitions before.
+    assert len(files_of(spark.read.parquet(str(tmp_path / "drops" / "folder")))) > 3 * cores / 2
+    assert all(stream.lastProgress["stateOperators"][0]["numShufflePartitions"] == cores for stream in streams)
